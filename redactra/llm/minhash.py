@@ -11,9 +11,10 @@ weighted Jaccard similarity.
 
 Signatures are banded; texts that share a band are verified on the multisets.
 To spare all pairs in a group of copies, every text of a bucket is compared
-with the bucket's first text.  Since 1 - similarity is a metric, those distances
-rule out most of the pairs left, and the rest are compared too: no link within
-a bucket is lost to the shortcut, as far as classes go.
+with the bucket's most connected text, which near copies mostly link to.  Since
+1 - similarity is a metric, those distances rule out pairs left between
+classes, the signatures rule out more, and what remains is verified where it
+meets, with no bound on its number.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
+#: Share of equal components below which a pair is taken to be unlike: a pair of similarity 0.8 falls below it
+#: about once in 10^6, as it fails to share a band.
+LIKELY = 0.62
+#: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of pieces.
+PIECE = 1024
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -68,19 +74,27 @@ def signature(keys: np.ndarray, weights: np.ndarray, size: int = SIZE) -> np.nda
         more = max(1, -(-4 * size // len(key))) if step == 0 else max(1, -(-size // len(key)))
         steps = np.arange(step, step + more, dtype=np.uint64)
         draw = mixed(key[:, None] + (steps * _C[1])[None, :])
-        when = at[:, None] + np.cumsum(-np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), 1) / (size * width)[:, None]
+        gaps = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        # summed one by one from the start, so that a point is the same number however the steps are blocked
+        gone = np.cumsum(np.concatenate([at[:, None], gaps], 1), 1)[:, 1:]
+        when = gone / (size * width)[:, None]
         other = mixed(draw ^ _C[2])
         component = (other >> np.uint64(32)) % np.uint64(size)
         position = lower[:, None] + np.floor((other & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width[:, None])
         inside = position < weight[:, None]
         np.minimum.at(found, component[inside].astype(np.int64), when[inside])
         step += more
-        at = when[:, -1]
-        on = at < found.max()
+        at = gone[:, -1]
+        on = when[:, -1] < found.max()
         key, weight, lower, width, at = key[on], weight[on], lower[on], width[on], at[on]
     return found
 
 
+def short_signature(found: np.ndarray) -> bytes:
+    """A byte for each component: equal components have equal bytes, others seldom."""
+    return (mixed(found.view(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
     rows = found.view(np.uint64).reshape(BANDS, ROWS)
     total = np.arange(1, BANDS + 1, dtype=np.uint64) * _C[3]
@@ -101,6 +115,40 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def open_links(distance: np.ndarray, group: np.ndarray, piece: np.ndarray, short: np.ndarray, bands: np.ndarray, key: int, texts: list[str], limit: float) -> list[tuple[int, int]]:
+    """Links between the classes of a bucket, one for each far text and class at most.
+
+    One of two texts lies farther than ``limit`` from the leader (else both are
+    in its class), their distances to it differ by ``limit`` at most, their
+    signatures agree in a share of LIKELY, and this is the first bucket they
+    share.  Such pairs are verified, the likeliest first, until a class is found.
+    """
+    hashes, known, out = WordHashes(), {}, []
+
+    def own(k: int):
+        if k not in known:
+            known[k] = shingles(texts[k], hashes)
+        return known[k]
+
+    crossing = len(np.unique(piece)) > 1
+    for u in np.flatnonzero(distance > limit).tolist():
+        ok = (group != group[u]) & (np.abs(distance - distance[u]) <= limit + 1e-9) & (distance > 0)
+        ok &= (distance <= limit) | (np.arange(len(distance)) > u)  # two far ones meet once
+        if crossing:
+            ok &= piece != piece[u]
+        x = np.flatnonzero(ok)
+        agree = (short[x] == short[u]).mean(1)
+        x, agree = x[agree >= LIKELY], agree[agree >= LIKELY]
+        shared = bands[x] == bands[u]
+        here = bands[u][shared.argmax(1)] == key if len(x) else np.empty(0, bool)
+        done: set[int] = set()
+        for k in x[here][np.argsort(-agree[here], kind="stable")].tolist():
+            if group[k] not in done and 1.0 - similarity(own(u), own(k)) <= limit + 1e-12:
+                done.add(int(group[k]))
+                out.append((u, k))
+    return out
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (a, x) with distance = 1 - similarity of their ``texts`` (node, text)."""
     small_batches(pairs.sparkSession)
@@ -122,7 +170,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (the text's 128-bit digest) and bands of each row; texts without words have no node."""
+    """doc_id, node (the text's 128-bit digest), bands and short signature of each row; texts without words have no node."""
 
     def make():
         hashes = WordHashes()
@@ -132,15 +180,16 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for t in texts:
                 if t not in seen:
                     s = shingles(t, hashes)
-                    seen[t] = band_keys(signature(*s)) if len(s[0]) else None
+                    found = signature(*s) if len(s[0]) else None
+                    seen[t] = (None, None) if found is None else (band_keys(found), short_signature(found))
                 out.append(seen[t])
-            return [pa.array(out, pa.list_(pa.int64()))]
+            return [pa.array([b for b, _ in out], pa.list_(pa.int64())), pa.array([x for _, x in out], pa.binary())]
 
         return work
 
     narrow = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text")).withColumn("digest", _node(F.col("text")))
-    out = with_columns_of(narrow, "text", [T.StructField("bands", T.ArrayType(T.LongType()))], make, ["doc_id", "digest"])
-    return out.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("digest")).alias("node"), "bands")
+    out = with_columns_of(narrow, "text", [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("short", T.BinaryType())], make, ["doc_id", "digest"])
+    return out.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("digest")).alias("node"), "bands", "short")
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +197,13 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = cut(signatures(docs, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     banded = cut(nodes.select("node", F.explode("bands").alias("key")), "bands")
-    full = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = cut(banded.join(full, "key"), "buckets")
+    full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(banded.join(full, "key"), "shared")
+    # the text that shares most bands with others stands in the middle of its group: it leads its buckets
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    ordered = shared.select("key", "node").join(degree, "node")
+    leads = ordered.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
+    buckets = cut(shared.select("key", "node").join(leads, "key"), "buckets")
     wanted = buckets.select("node").distinct()
     texts = (
         docs.select(F.coalesce(named(text_col), F.lit("")).alias("text")).withColumn("node", _node(F.col("text")))
@@ -171,13 +225,23 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     mixed_up = cut(member.join(split, "key"), "open")
     if not mixed_up.isEmpty():
-        far = mixed_up.where(F.col("d") > 1.0 - similar)
-        u = far.select("key", F.col("node").alias("a"), F.col("d").alias("da"), F.col("c").alias("ca"))
-        x = mixed_up.select("key", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-        reach = 1.0 - similar + 1e-9
-        both = u.join(x, "key").where((F.col("ca") != F.col("cx")) & (F.abs(F.col("da") - F.col("dx")) <= reach) & (F.col("dx") > 0))
-        open_pairs = both.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("x")).distinct()
-        second = cut(verify(open_pairs, texts).where(F.col("distance") <= 1.0 - similar + 1e-12).select("a", "x"), "verified")
+        limit = 1.0 - similar
+        sizes = mixed_up.groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").alias("k"), F.ceil(F.col("n") / (PIECE // 2)).cast("int").alias("pieces"))
+        sizes = sizes.withColumn("pieces", F.when(F.col("pieces") <= 2, 1).otherwise(F.col("pieces")))
+        extra = signed.where("node is not null").groupBy("node").agg(F.first("short").alias("short"), F.first("bands").alias("bands"))
+        dealt = mixed_up.join(sizes, F.col("key") == F.col("k")).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+        dealt = dealt.join(extra, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        dealt = dealt.select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "node", "d", "c", "short", "bands", "text", "piece")
+
+        def compare(key, table):
+            nodes = table["node"].to_pylist()
+            group = np.unique(np.array([x.hex() for x in table["c"].to_pylist()]), return_inverse=True)[1]
+            short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(-1, SIZE)
+            bands = np.array(table["bands"].to_pylist(), np.int64)
+            found = open_links(table["d"].to_numpy(), group, table["piece"].to_numpy(), short, bands, key[0].as_py(), table["text"].to_pylist(), limit)
+            return pa.table({n: pa.array([nodes[pair[k]] for pair in found], pa.binary()) for k, n in enumerate("ax")})
+
+        second = cut(dealt.groupBy("key", "p", "q").applyInArrow(compare, "a binary, x binary"), "verified")
         if not second.isEmpty():
             stars_now = classes.select(F.col("component").alias("a"), F.col("node").alias("x"))
             classes = components(stars_now.unionByName(second), "a", "x")
