@@ -1,6 +1,345 @@
-"""Queries of the redaction engine over the bundled tables, and their SQL."""
+"""Queries of the redaction engine over the bundled tables, and their SQL.
+
+Test values for shapes the tables lack are built from integer keys, alike in
+both engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from .catalog import BALANCED, FULL, RULES, level_of
+from .functions import text as fx
+from .operators import language, registry, spans, splice, structure, tabular, units
+from .plans.anonymize import Anonymizer, anonymize_texts
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.with_previous(units.split_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def units_with_context(spark, sf_dir):
+    return _units(spark, sf_dir).select("doc_id", F.col("unit_seq").cast("long").alias("unit_seq"), "text", "context")
+
+
+def units_distinct(spark, sf_dir):
+    rows = units.split_lines(_table(spark, sf_dir, "documents")).withColumn("context", F.lit(""))
+    return units.distinct_units(rows).select("doc_id", F.col("unit_seq").cast("long").alias("unit_seq"), F.col("times").cast("long").alias("times"), F.length("text").cast("long").alias("n_chars"))
+
+
+def _rule_matches(spark, sf_dir, kind):
+    rules = [(k, r) for k, r in enumerate(RULES) if r.kind == kind]
+    rows = _units(spark, sf_dir).withColumn("s", F.explode(spans.detect(fx.guarded(F.col("text")), F.col("context"), FULL, rules)))
+    return rows.select("doc_id", F.col("unit_seq").cast("long").alias("unit_seq"), F.col("s.start").cast("long").alias("start"), F.col("s.text").alias("value"))
+
+
+def detect_email(spark, sf_dir):
+    return _rule_matches(spark, sf_dir, "EMAIL").select("doc_id", "unit_seq", "value")
+
+
+def detect_ip(spark, sf_dir):
+    return _rule_matches(spark, sf_dir, "IP").select("doc_id", "unit_seq", "value")
+
+
+def detect_card(spark, sf_dir):
+    return _rule_matches(spark, sf_dir, "CARD").select("doc_id", "unit_seq", F.regexp_replace("value", "[^0-9]", "").alias("digits"))
+
+
+def detect_url(spark, sf_dir):
+    rules = [(k, r) for k, r in enumerate(RULES) if r.kind == "URL" and r.level == BALANCED]
+    rows = _table(spark, sf_dir, "pages").withColumn("s", F.explode(spans.detect(fx.guarded(F.col("url")), F.lit(""), FULL, rules)))
+    return rows.select("page_id", F.col("s.text").alias("value"))
+
+
+def spans_by_kind_level(spark, sf_dir):
+    rows = _units(spark, sf_dir)
+    out = None
+    for name in ("soft", "balanced", "full"):
+        found = Anonymizer(name).spans(rows).select(F.explode("spans").alias("s")).groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n")).withColumn("level", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_CUSTOMER_KEYS = "SELECT c_custkey AS k FROM customer"
+_DNI_SQL = "substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST((k * 7919 % 100000000) % 23 AS INT) + 1, 1)"
+
+
+def _keys(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+
+
+def _eight(k):
+    return F.lpad((k * 7919 % 100_000_000).cast("string"), 8, "0")
+
+
+def valid_dni(spark, sf_dir):
+    """Every other key gets its right letter."""
+    k = F.col("k")
+    right = F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), ((k * 7919 % 100_000_000) % 23).cast("int") + 1, F.lit(1))
+    value = F.concat(_eight(k), F.when(k % 2 == 0, right).otherwise("A"))
+    return _keys(spark, sf_dir).select("k", value.alias("value")).withColumn("valid", fx.valid_dni(F.col("value")))
+
+
+def valid_nie(spark, sf_dir):
+    k = F.col("k")
+    value = F.concat(F.substring(F.lit("XYZ"), (k % 3).cast("int") + 1, F.lit(1)), F.lpad((k * 104_729 % 10_000_000).cast("string"), 7, "0"), F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (k % 23).cast("int") + 1, F.lit(1)))
+    return _keys(spark, sf_dir).select("k", value.alias("value")).withColumn("valid", fx.valid_nie(F.col("value")))
+
+
+def valid_rut(spark, sf_dir):
+    k = F.col("k")
+    value = F.concat(_eight(k), F.lit("-"), F.substring(F.lit("0123456789K"), (k % 11).cast("int") + 1, F.lit(1)))
+    return _keys(spark, sf_dir).select("k", value.alias("value")).withColumn("valid", fx.valid_rut(F.col("value")))
+
+
+def valid_cif(spark, sf_dir):
+    k = F.col("k")
+    value = F.concat(F.substring(F.lit("ABCDEFGHJNPQRSUVW"), (k % 17).cast("int") + 1, F.lit(1)), F.lpad((k * 104_729 % 10_000_000).cast("string"), 7, "0"), F.when(k % 2 == 0, (k % 10).cast("string")).otherwise(F.substring(F.lit("JABCDEFGHI"), (k % 10).cast("int") + 1, F.lit(1))))
+    return _keys(spark, sf_dir).select("k", value.alias("value")).withColumn("valid", fx.valid_cif(F.col("value")))
+
+
+def valid_iban(spark, sf_dir):
+    k = F.col("k")
+    value = F.concat(F.lit("ES"), F.lpad((k % 97).cast("string"), 2, "0"), F.lpad((k * 7919).cast("string"), 20, "0"))
+    return _keys(spark, sf_dir).select("k", value.alias("value")).withColumn("valid", fx.valid_iban(F.col("value")))
+
+
+def valid_luhn(spark, sf_dir):
+    k = F.col("k")
+    value = F.concat(F.lit("4"), F.lpad((k * 7919).cast("string"), 15, "0"))
+    return _keys(spark, sf_dir).select("k", value.alias("value")).withColumn("valid", fx.valid_luhn(F.col("value")))
+
+
+def detect_lang(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", language.vote(F.col("text"), "es").alias("lang"))
+
+
+def entity_first_seen(spark, sf_dir):
+    rows = _rule_matches(spark, sf_dir, "EMAIL").unionByName(_rule_matches(spark, sf_dir, "IP"))
+    kinds = rows.withColumn("kind", F.when(F.col("value").contains("@"), "EMAIL").otherwise("IP")).withColumnRenamed("value", "text")
+    out = registry.number_entities(kinds, "en")
+    return out.select("doc_id", "kind", "key", F.col("n").cast("long").alias("n"), "marker")
+
+
+def anonymize_documents(spark, sf_dir):
+    return anonymize_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), Anonymizer("balanced", "en"))
+
+
+def anonymize_conversations(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("unit_seq"), "text")
+    return Anonymizer("balanced", "en").transform(units.with_previous(rows)).select("doc_id", "unit_seq", "redacted", "replaced")
+
+
+def job_stats(spark, sf_dir):
+    out = Anonymizer("balanced", "en").stats(_units(spark, sf_dir))
+    return out.select("doc_id", "total_occurrences", "total_distinct", F.array_join("labels", ",").alias("labels"), F.to_json("by_kind").alias("by_kind"), "engine", "doc_lang", "level", F.to_json("warnings").alias("warnings"))
+
+
+def idempotent_rerun(spark, sf_dir):
+    """Documents that a second run would change: none."""
+    once = anonymize_documents(spark, sf_dir).withColumnRenamed("redacted", "text")
+    again = anonymize_texts(once, Anonymizer("balanced", "en"))
+    return once.join(again, "doc_id").agg(F.count_if(F.col("text") != F.col("redacted")).alias("changed"))
+
+
+def _shape_query(kinds):
+    def query(spark, sf_dir):
+        k = F.col("k")
+        templates = [
+            "password: hunter%d2, api_key = abcdef%d0123456789xyz", "bearer sk_live_abcdefgh%d12345678 AKIA%dABCDEFGHIJKLMNOP", "user: ana%d login=bob.%d", "SIN-2025-%d and 2024-ABC-%d",
+            "Contract N. VD-2019-%d / invoice # FA-%d77", "Paid $ 2.850.%d or 1.500 euros, %d EUR", "born 12/03/19%d", "calle Mayor %d, piso 3", "/etc/app/%d.conf and C:\\data\\%d srv-db%d.local",
+            "call +34 612 345 678 or phone 612345678 %d", "12.345.678-5 RUT 12345678-5 %d", "diagnóstico J45.%d 1234 BCD", "database: prod_%d", "www.example%d.com https://x%d.org/a?b=%d",
+        ]
+        rows = _keys(spark, sf_dir).withColumn("which", (k % len(templates)).cast("int"))
+        text = F.replace(F.element_at(F.array(*map(F.lit, templates)), F.col("which") + 1), F.lit("%d"), F.lpad((k % 1000).cast("string"), 3, "0"))
+        rows = rows.select(k.alias("doc_id"), F.lit(0).alias("unit_seq"), text.alias("text"), F.lit("").alias("context"))
+        found = Anonymizer("full", "en").spans(rows).select("doc_id", F.explode("spans").alias("s")).where(F.col("s.kind").isin(kinds))
+        return found.select("doc_id", "s.start", "s.end", "s.kind", "s.text", "s.priority")
+
+    return query
+
+
+def overlap_resolution(spark, sf_dir):
+    """Intervals of line items by order, disjoint by quantity, then length, then start."""
+    line = _table(spark, sf_dir, "lineitem")
+    start = (F.col("l_partkey") % 97).cast("int")
+    span = F.struct(start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), F.lit("X").alias("kind"), F.lit("x").alias("text"), F.col("l_linenumber").alias("priority"), F.lit("regex").alias("source"), F.lit(0).alias("rule"))
+    grouped = line.groupBy("l_orderkey").agg(F.collect_list(span).cast(spans.SPANS).alias("s"))
+    kept = grouped.select("l_orderkey", F.explode(spans.resolve_overlaps(F.col("s"))).alias("s"))
+    return kept.select("l_orderkey", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.priority").alias("priority"))
+
+
+def splice_segments(spark, sf_dir):
+    """Texts in segments of 40, with a span across the first border: joined again, they are the spliced text."""
+    docs = _table(spark, sf_dir, "documents").where(F.length("text") >= 100).select("doc_id", F.substring("text", 1, 100).alias("text"))
+    cut = docs.withColumn("segments", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.substring(F.col("text"), i * 40 + 1, F.lit(40))))
+    edits = F.array(F.struct(F.lit(30).alias("start"), F.lit(50).alias("end"), F.lit("[X_1]").alias("marker")), F.struct(F.lit(90).alias("start"), F.lit(95).alias("end"), F.lit("[X_2]").alias("marker"))).cast(splice.REPLACEMENTS)
+    out = splice.splice_segments(F.col("segments"), edits)
+    return cut.select("doc_id", F.array_join(out, "").alias("joined"), out[0].alias("first"), out[1].alias("second"), splice.splice(F.col("text"), edits).alias("whole"))
+
+
+def sheet_name_safe(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", fx.sheet_title(F.concat(F.lit("[NAME_1] of the sheets of "), F.col("n_name"))).alias("title"))
+
+
+def line_padding(spark, sf_dir):
+    old = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", structure.extra_breaks(old, F.lit("[PARAGRAPH CONTENT 1]"), F.lit(24)).alias("breaks"))
+
+
+def _order_cells(spark, sf_dir):
+    """Orders as a worksheet for each customer: a header row, then key, status, price."""
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    from pyspark.sql import Window
+
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1
+    cell = lambda col, dtype, s, d: F.struct(F.lit(col).alias("col"), F.lit(dtype).alias("dtype"), s.cast("string").alias("s"), d.cast("double").alias("d"))
+    none = F.lit(None)
+    body = orders.withColumn("row", row).select(
+        F.col("o_custkey").alias("doc_id"), F.lit(1).alias("sheet_ord"), "row",
+        F.explode(F.array(cell(1, "n", none, F.col("o_orderkey")), cell(2, "s", F.col("o_orderstatus"), none), cell(3, "n", none, F.col("o_totalprice")), cell(4, "s", F.col("o_orderpriority"), none))).alias("c"),
+    )
+    heads = orders.select("o_custkey").distinct().select(
+        F.col("o_custkey").alias("doc_id"), F.lit(1).alias("sheet_ord"), F.lit(1).alias("row"), F.explode(F.array(*(cell(k, "s", F.lit(n), none) for k, n in enumerate(("order", "status", "total price", "priority"), 1)))).alias("c")
+    )
+    return body.unionByName(heads).select("doc_id", "sheet_ord", "row", "c.*")
+
+
+def tabular_numeric_mask(spark, sf_dir):
+    out = tabular.number_markers(units.with_headers(_order_cells(spark, sf_dir)), level_of("balanced"), "en")
+    return out.select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("n").cast("long").alias("n"), "marker")
+
+
+def header_row(spark, sf_dir):
+    return units.header_rows(_order_cells(spark, sf_dir)).select("doc_id", F.col("header_row").cast("long").alias("header_row"))
+
+
+def structure_cells(spark, sf_dir):
+    out = structure.cell_labels(_order_cells(spark, sf_dir), "en")
+    return out.select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "label")
+
+
+def structure_html(spark, sf_dir):
+    """Pages' headings, paragraphs, items, header and footer as document elements."""
+    pages = _table(spark, sf_dir, "pages")
+    pattern = "(?s)<(h1|p|li|header|footer)>([^<]+)"
+    whole = F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(whole).alias("seq", "e"))
+    tag, text = F.regexp_extract("e", pattern, 1), F.regexp_extract("e", pattern, 2)
+    elements = rows.select(
+        "doc_id", "seq", F.when(tag.isin("header", "footer"), tag).otherwise("body").alias("part"), F.when(tag == "h1", "Heading1").when(tag == "li", "ListParagraph").otherwise("Normal").alias("style"),
+        F.lit(False).alias("has_num"), F.lit(None).cast("int").alias("table_row"), F.lit(None).cast("int").alias("table_col"), text.alias("text"),
+    )
+    return structure.word_labels(elements, "en").select("doc_id", "seq", "label")
+
+
+def noise_filter(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("surface"))
+    return names.select("p_partkey", language.is_noise(F.col("surface"), F.lit("ORG")).alias("noise"))
+
+
+def _people(spark, sf_dir):
+    """Names made of keys, several to a document: full, shorter, surname alone."""
+    k = F.col("k")
+    first, last = F.concat(F.lit("Ana"), F.substring(F.lit("bcdfghjklm"), (k % 10).cast("int") + 1, F.lit(1))), F.concat(F.lit("Correa"), F.substring(F.lit("bcdfghjklmn"), (k % 11).cast("int") + 1, F.lit(1)))
+    surface = F.when(k % 3 == 0, F.concat_ws(" ", first, F.lit("Maria"), last)).when(k % 3 == 1, F.concat_ws(" ", first, last)).otherwise(F.concat(F.lit("Dr. "), first, F.lit(" "), last))
+    return _keys(spark, sf_dir).select(F.floor(k / 6).alias("doc_id"), (k % 6).cast("int").alias("unit_seq"), surface.alias("surface"), last.alias("last"))
+
+
+def alias_registry(spark, sf_dir):
+    """Persons of a document folded to their markers, and surnames found again by the gazetteer."""
+    people = _people(spark, sf_dir)
+    text = F.concat(F.col("surface"), F.lit(" wrote about "), F.col("last"), F.lit("."))
+    rows = people.select("doc_id", "unit_seq", text.alias("text"), F.lit("").alias("context"))
+    found = people.select("doc_id", "unit_seq", F.lit(0).alias("start"), F.length("surface").alias("end"), F.lit("PER").alias("label"), F.col("surface").alias("text"))
+    return Anonymizer("balanced", "en", found).transform(rows).select("doc_id", "unit_seq", "redacted", "replaced")
+
+
+def token_owners(spark, sf_dir):
+    """Name tokens of five letters and more that one person key of a document owns."""
+    keys = _people(spark, sf_dir).select("doc_id", fx.entity_key(F.col("surface"), F.lit("PERSON")).alias("key")).distinct()
+    tokens = keys.select("doc_id", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("token")).where(F.length("token") >= 5)
+    return tokens.groupBy("doc_id", "token").agg(F.count_distinct("key").alias("owners")).where("owners = 1").select("doc_id", "token")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        units_with_context, units_distinct, detect_email, detect_ip, detect_card, detect_url, spans_by_kind_level, valid_dni, valid_nie, valid_rut, valid_cif, valid_iban, valid_luhn, detect_lang, entity_first_seen,
+        anonymize_documents, anonymize_conversations, job_stats, idempotent_rerun, overlap_resolution, splice_segments, sheet_name_safe, line_padding, tabular_numeric_mask, header_row, structure_cells, structure_html,
+        noise_filter, alias_registry, token_owners,
+    )
+} | {
+    "secrets_rules": _shape_query(["CREDENTIAL", "API_KEY", "TOKEN", "USERNAME"]), "reference_rules": _shape_query(["REFERENCE", "CONTRACT", "INVOICE", "HEALTH_CODE", "PLATE", "NATIONAL_ID"]),
+    "amount_date_rules": _shape_query(["AMOUNT", "BIRTHDATE", "PHONE"]), "address_path_host_rules": _shape_query(["ADDRESS", "PATH", "HOSTNAME", "DATABASE", "URL", "POSTAL_CODE"]),
+}
+
+_LINES = """lines AS (
+  SELECT doc_id, i - 1 AS unit_seq, parts[i] AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+  WHERE regexp_matches(parts[i], '[^ \\t\\n\\x0B\\f\\r]'))"""
+#: Non-ASCII letters as an ASCII one of the same length, so that both engines see the same word borders.
+_SHADOW = "regexp_replace(text, '[À-ÖØ-öø-ɏ]', 'x', 'g')"
+_CARD = "regexp_replace(m, '[^0-9]', '', 'g')"
+_CELLS = """cells AS (
+  SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS row FROM orders)"""
+
+
+def _digit_sum(value: str, places: str, weight: str) -> str:
+    return f"list_sum(list_transform(range({places}), lambda i: CAST(substr({value}, CAST(i AS INT) + 1, 1) AS INT) * ({weight})))"
+
+
+ORACLES: dict[str, str] = {
+    "units_with_context": f"WITH {_LINES} SELECT doc_id, unit_seq, text, coalesce(lag(substr(text, 1, 90)) OVER (PARTITION BY doc_id ORDER BY unit_seq), '') AS context FROM lines",
+    "units_distinct": f"WITH {_LINES} SELECT doc_id, min(unit_seq) AS unit_seq, count(*) AS times, length(text) AS n_chars FROM lines GROUP BY doc_id, text",
+    "detect_email": f"WITH {_LINES} SELECT doc_id, unit_seq, unnest(regexp_extract_all({_SHADOW}, '\\b[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+\\b')) AS value FROM lines",
+    "detect_ip": f"WITH {_LINES} SELECT doc_id, unit_seq, unnest(regexp_extract_all({_SHADOW}, '\\b(?:(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){{3}}(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)(?::\\d{{1,5}})?\\b')) AS value FROM lines",
+    "detect_card": f"""WITH {_LINES}, found AS (SELECT doc_id, unit_seq, unnest(regexp_extract_all({_SHADOW}, '\\b(?:\\d[ -]?){{13,19}}\\b')) AS m FROM lines),
+digits AS (SELECT doc_id, unit_seq, {_CARD} AS digits FROM found),
+sums AS (SELECT *, list_sum(list_transform(range(length(digits)), lambda i:
+  CASE WHEN i % 2 = 0 THEN CAST(substr(digits, CAST(length(digits) - i AS INT), 1) AS INT)
+       WHEN CAST(substr(digits, CAST(length(digits) - i AS INT), 1) AS INT) >= 5 THEN CAST(substr(digits, CAST(length(digits) - i AS INT), 1) AS INT) * 2 - 9
+       ELSE CAST(substr(digits, CAST(length(digits) - i AS INT), 1) AS INT) * 2 END)) AS total FROM digits)
+SELECT doc_id, unit_seq, digits FROM sums WHERE length(digits) BETWEEN 13 AND 19 AND total % 10 = 0""",
+    "detect_url": "SELECT page_id, unnest(regexp_extract_all(url, '\\bhttps?://[^\\s<>\"''\\)\\]]+')) AS value FROM pages",
+    "valid_dni": f"""WITH v AS (SELECT k, lpad(CAST(k * 7919 % 100000000 AS VARCHAR), 8, '0') || CASE WHEN k % 2 = 0 THEN {_DNI_SQL} ELSE 'A' END AS value FROM ({_CUSTOMER_KEYS}))
+SELECT k, value, substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(CAST(substr(value, 1, 8) AS BIGINT) % 23 AS INT) + 1, 1) = substr(value, 9, 1) AS valid FROM v""",
+    "valid_nie": f"""WITH v AS (SELECT k, substr('XYZ', CAST(k % 3 AS INT) + 1, 1) || lpad(CAST(k * 104729 % 10000000 AS VARCHAR), 7, '0') || substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(k % 23 AS INT) + 1, 1) AS value FROM ({_CUSTOMER_KEYS}))
+SELECT k, value, substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(CAST(translate(substr(value, 1, 1), 'XYZ', '012') || substr(value, 2, 7) AS BIGINT) % 23 AS INT) + 1, 1) = substr(value, 9, 1) AS valid FROM v""",
+    "valid_rut": f"""WITH v AS (SELECT k, lpad(CAST(k * 7919 % 100000000 AS VARCHAR), 8, '0') AS d, substr('0123456789K', CAST(k % 11 AS INT) + 1, 1) AS c FROM ({_CUSTOMER_KEYS})),
+s AS (SELECT *, 11 - {_digit_sum("reverse(d)", "8", "i % 6 + 2")} % 11 AS r FROM v)
+SELECT k, d || '-' || c AS value, c = CASE r WHEN 11 THEN '0' WHEN 10 THEN 'K' ELSE CAST(r AS VARCHAR) END AS valid FROM s""",
+    "valid_cif": f"""WITH v AS (SELECT k, substr('ABCDEFGHJNPQRSUVW', CAST(k % 17 AS INT) + 1, 1) AS f, lpad(CAST(k * 104729 % 10000000 AS VARCHAR), 7, '0') AS d,
+  CASE WHEN k % 2 = 0 THEN CAST(k % 10 AS VARCHAR) ELSE substr('JABCDEFGHI', CAST(k % 10 AS INT) + 1, 1) END AS l FROM ({_CUSTOMER_KEYS})),
+s AS (SELECT *, (10 - list_sum(list_transform(range(7), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(d, CAST(i AS INT) + 1, 1) AS INT)
+  ELSE CAST(substr(d, CAST(i AS INT) + 1, 1) AS INT) * 2 // 10 + CAST(substr(d, CAST(i AS INT) + 1, 1) AS INT) * 2 % 10 END)) % 10) % 10 AS c FROM v)
+SELECT k, f || d || l AS value, CASE WHEN f IN ('P', 'Q', 'R', 'S', 'N', 'W') THEN l = substr('JABCDEFGHI', CAST(c AS INT) + 1, 1)
+  WHEN f IN ('A', 'B', 'E', 'H') THEN l = CAST(CAST(c AS INT) AS VARCHAR) ELSE l = CAST(CAST(c AS INT) AS VARCHAR) OR l = substr('JABCDEFGHI', CAST(c AS INT) + 1, 1) END AS valid FROM s""",
+    "valid_iban": f"""WITH v AS (SELECT k, lpad(CAST(k % 97 AS VARCHAR), 2, '0') AS c, lpad(CAST(k * 7919 AS VARCHAR), 20, '0') AS b FROM ({_CUSTOMER_KEYS}))
+SELECT k, 'ES' || c || b AS value, CAST(b || '1428' || c AS HUGEINT) % 97 = 1 AS valid FROM v""",
+    "valid_luhn": f"""WITH v AS (SELECT k, '4' || lpad(CAST(k * 7919 AS VARCHAR), 15, '0') AS value FROM ({_CUSTOMER_KEYS}))
+SELECT k, value, list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(value, CAST(i AS INT) + 1, 1) AS INT)
+  WHEN CAST(substr(value, CAST(i AS INT) + 1, 1) AS INT) >= 5 THEN CAST(substr(value, CAST(i AS INT) + 1, 1) AS INT) * 2 - 9 ELSE CAST(substr(value, CAST(i AS INT) + 1, 1) AS INT) * 2 END)) % 10 = 0 AS valid FROM v""",
+    "detect_lang": f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 20000)), '[a-záéíóúüñ]+') AS w FROM documents),
+n AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: list_contains({language.STOP_ES}, x))) AS es, len(list_filter(w, lambda x: list_contains({language.STOP_EN}, x))) AS en FROM w)
+SELECT doc_id, CASE WHEN n < 20 OR es + en = 0 THEN 'es' WHEN es >= en * 1.15 THEN 'es' WHEN en > es * 1.15 THEN 'en' ELSE 'es' END AS lang FROM n""",
+    "sheet_name_safe": "SELECT n_nationkey, substr(translate('[NAME_1] of the sheets of ' || n_name, '[]', '()'), 1, 31) AS title FROM nation",
+    "line_padding": "SELECT doc_id, CAST(greatest(0, greatest(1, ceil(length(text) / 80.0)) - 1) AS BIGINT) AS breaks FROM documents",
+    "splice_segments": """WITH d AS (SELECT doc_id, substr(text, 1, 100) AS t FROM documents WHERE length(text) >= 100)
+SELECT doc_id, substr(t, 1, 30) || '[X_1]' || substr(t, 51, 40) || '[X_2]' || substr(t, 96) AS joined, substr(t, 1, 30) || '[X_1]' AS first, substr(t, 51, 30) AS second,
+  substr(t, 1, 30) || '[X_1]' || substr(t, 51, 40) || '[X_2]' || substr(t, 96) AS whole FROM d""",
+    "header_row": "SELECT DISTINCT o_custkey AS doc_id, CAST(1 AS BIGINT) AS header_row FROM orders",
+    "tabular_numeric_mask": f"WITH {_CELLS} SELECT doc_id, row, CAST(3 AS BIGINT) AS col, row - 1 AS n, '[VALUE_' || (row - 1) || ']' AS marker FROM cells",
+    "structure_cells": f"""WITH {_CELLS}
+SELECT doc_id, row, CAST(c AS BIGINT) AS col, CASE c WHEN 1 THEN '[NUMERIC VALUE ' || (2 * (row - 1) - 1) || ']' WHEN 3 THEN '[NUMERIC VALUE ' || (2 * (row - 1)) || ']' ELSE '[DATA ROW-' || row || ' COL-' || c || ']' END AS label
+FROM cells, (SELECT unnest([1, 2, 3, 4]) AS c)
+UNION ALL SELECT DISTINCT o_custkey, CAST(1 AS BIGINT), CAST(c AS BIGINT), '[HEADER COL-' || c || ']' FROM orders, (SELECT unnest([1, 2, 3, 4]) AS c)""",
+    "idempotent_rerun": "SELECT CAST(0 AS BIGINT) AS changed",
+}
