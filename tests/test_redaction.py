@@ -1,0 +1,118 @@
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from redactra.functions import text as fx
+from redactra.operators import language, registry, splice, structure
+from redactra.plans.anonymize import Anonymizer, RecogniserMissing, anonymize_texts
+from redactra.sources import ooxml
+
+UNIT = "doc_id string, unit_seq int, text string, context string"
+GOLDEN = [
+    ("soft", "", "Contact: ana.lopez@example.com", "Contact: [EMAIL_1]"),
+    ("soft", "", "RUT 12.345.678-5", "RUT [NATIONAL_ID_1]"),
+    ("soft", "", "12345678-5", "12345678-5"),
+    ("soft", "RUT", "12345678-5", "[NATIONAL_ID_1]"),
+    ("soft", "", "ID 12345678Z", "ID [NATIONAL_ID_1]"),
+    ("soft", "", "IBAN ES91 2100 0418 4502 0005 1332", "IBAN [IBAN_1]"),
+    ("soft", "", "Card 4111 1111 1111 1111 expires", "Card [CARD_1]expires"),
+    ("soft", "", "password: hunter22", "password: [CREDENTIAL_1]"),
+    ("soft", "", "[NAME_1] wrote to b@example.com", "[NAME_1] wrote to [EMAIL_1]"),
+    ("soft", "", "Server 10.0.0.12:8080", "Server 10.0.0.12:8080"),
+    ("soft", "", "https://a.example.com/x?u=b@example.com", "https://a.example.com/x?u=[EMAIL_1]"),
+    ("balanced", "", "Server 10.0.0.12:8080", "Server [IP_1]"),
+    ("balanced", "", "Policy N. VD-2019-44821", "Policy N. [CONTRACT_1]"),
+    ("balanced", "", "Paid $ 2.850.000 today", "Paid [AMOUNT_1]today"),
+    ("balanced", "", "Paid $82400", "Paid [AMOUNT_1]00"),
+    ("balanced", "Date of birth", "12/03/1980", "[BIRTH_DATE_1]"),
+    ("balanced", "", "12/03/1980", "12/03/1980"),
+    ("balanced", "", "https://a.example.com/x?u=b@example.com", "[URL_1]"),
+    ("full", "", "12/03/1980", "[BIRTH_DATE_1]"),
+]
+
+
+@pytest.mark.parametrize("level", ["soft", "balanced", "full"])
+def test_golden(spark, level):
+    cases = [(str(k), 0, t, c) for k, (lv, c, t, _) in enumerate(GOLDEN) if lv == level]
+    cases += [("two", 0, "to A@x.org", ""), ("two", 1, "or a@x.org", ""), ("null", 0, None, None), ("empty", 0, "", "")]
+    out = {(r[0], r[1]): r[2] for r in Anonymizer(level, "en").transform(spark.createDataFrame(cases, UNIT)).select("doc_id", "unit_seq", "redacted").collect()}
+    for k, (lv, _, _, want) in enumerate(GOLDEN):
+        if lv == level:
+            assert out[(str(k), 0)] == want
+    assert out[("two", 0)] == "to [EMAIL_1]" and out[("two", 1)] == "or [EMAIL_1]"
+    assert out[("null", 0)] is None and out[("empty", 0)] == ""
+
+
+def test_checks(spark):
+    good = {"rut": ["12.345.678-5"], "dni": ["12345678Z"], "nie": ["X1234567L"], "cif": ["A58818501"], "iban": ["ES9121000418450200051332", "GB82WEST12345698765432"], "luhn": ["4111111111111111", "4539578763621486"]}
+    bad = {"rut": ["12.345.678-6"], "dni": ["12345678A"], "nie": ["X1234567A"], "cif": ["A58818502"], "iban": ["ES9221000418450200051332"], "luhn": ["9807915762804490"]}
+    one = spark.range(1)
+    for want, table in ((True, good), (False, bad)):
+        for name, values in table.items():
+            for v in values:
+                assert one.select(fx.CHECKS[name](F.lit(v))).first()[0] is want, (name, v)
+
+
+def test_names_fold_to_one_marker(spark):
+    names = spark.createDataFrame([("a", 0, 0, 18, "PER", "Juan Miguel Correa"), ("a", 1, 0, 11, "PER", "Juan Miguel")], "doc_id string, unit_seq int, start int, end int, label string, text string")
+    units = spark.createDataFrame([("a", 0, "Juan Miguel Correa came", ""), ("a", 1, "Juan Miguel left", ""), ("a", 2, "for R. Correa now", "")], UNIT)
+    out = [r[0] for r in Anonymizer("balanced", "en", names).transform(units).orderBy("unit_seq").select("redacted").collect()]
+    assert out == ["[NAME_1] came", "[NAME_1] left", "for R. [NAME_1] now"]
+    with pytest.raises(RecogniserMissing):
+        Anonymizer(require_names=True).transform(units)
+
+
+@pytest.mark.parametrize(("surfaces", "numbers"), [(["Juan Miguel Correa", "Juan Miguel", "Correa"], [1, 1, 1]), (["Ana Soto", "Luis Soto", "Soto"], [1, 2, 3]), (["Juan Correa", "Juan Miguel Correa", "Correa"], [1, 1, 2]), (["Li Bo", "Maria Lopez"], [1, 2]), (["Sr. Dr. Juan Soto", "juan soto"], [1, 1])])
+def test_aliases(surfaces, numbers):
+    seen = registry.DocumentEntities("en")
+    assert [seen.marker("PERSON", s) for s in surfaces] == [f"[NAME_{n}]" for n in numbers]
+
+
+def test_splicing(spark):
+    edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(18).alias("end"), F.lit("[NAME_1]").alias("marker"))).cast(splice.REPLACEMENTS)
+    segments = F.array(*map(F.lit, ["Juan Mi", "guel ", "Correa!"]))
+    assert spark.range(1).select(splice.splice_segments(segments, edits)).first()[0] == ["[NAME_1]", "", "!"]
+    raw = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("x").alias("marker")) for a, b in ((0, 5), (3, 8)))).cast(splice.REPLACEMENTS)
+    assert [(r["start"], r["end"]) for r in spark.range(1).select(splice.normalize(raw, F.lit(10))).first()[0]] == [(0, 5)]
+
+
+def test_structure(spark):
+    styles = ["Title", "Heading1", "Heading2", "Heading3", "ListParagraph", "Normal"]
+    rows = spark.createDataFrame([(1, k, "body", s, False, None, None, "x") for k, s in enumerate(styles)], "doc_id int, seq int, part string, style string, has_num boolean, table_row int, table_col int, text string")
+    out = [r[0] for r in structure.word_labels(rows, "en").orderBy("seq").select("label").collect()]
+    assert out == ["[DOCUMENT TITLE]", "[SECTION TITLE 1]", "[SECTION TITLE 2]", "[SUBTITLE 2.1]", "[LIST ITEM 1]", "[PARAGRAPH CONTENT 1]"]
+    assert spark.range(1).select(structure.extra_breaks(F.lit("x" * 200), F.lit("[PARAGRAPH CONTENT 1]"), F.lit(24))).first()[0] == 2
+
+
+def test_language_falls_back(spark):
+    assert spark.range(1).select(language.vote(F.lit("the few words"), "es"), language.vote(F.lit("the of and to in " * 5), "es")).first()[:] == ("es", "en")
+
+
+def test_second_run_changes_nothing(spark):
+    docs = spark.createDataFrame([(1, "a@x.org\npassword: hunter22"), (2, None), (3, "")], "doc_id int, text string")
+    once = anonymize_texts(docs, Anonymizer("full", "en")).withColumnRenamed("redacted", "text")
+    again = anonymize_texts(once, Anonymizer("full", "en"))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+
+
+def _package(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def test_word_round_trip(spark, tmp_path):
+    w = ooxml.W[1:-1]
+    body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Ana </w:t></w:r><w:r><w:t>a@x.org</w:t></w:r></w:p></w:body></w:document>'
+    data = _package({"word/document.xml": body})
+    (tmp_path / "a.docx").write_bytes(data)
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in ooxml.word_units(spark, f"file://{tmp_path}").collect()}
+    assert rows["a.docx"]["segments"] == ["Ana ", "a@x.org"] and rows["b.docx"]["corrupt"]
+    edited = ooxml.edit_package(data, {"word/document.xml": ["Ana ", "[EMAIL_1]"]})
+    assert ooxml.node_texts(edited, "word/document.xml") == ["Ana ", "[EMAIL_1]"]
+    assert ooxml.edit_package(data, {"word/document.xml": ["Ana ", "a@x.org"]}) and ooxml.node_texts(data, "word/document.xml") == ["Ana ", "a@x.org"]
