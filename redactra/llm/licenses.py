@@ -13,6 +13,7 @@ prediction is confirmed by the share of a template's bigrams that it holds.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -93,6 +94,8 @@ UNKNOWN = [
 FAMILIES = [*TEMPLATES, "unknown"]
 #: Corpus paragraphs used as unknown: half to fit, half to calibrate.
 SAMPLE = 2_000
+#: Share of the unknown paragraphs beyond which a word or pair is no feature.
+COMMON = 0.005
 ROUNDS, RATE, DECAY = 300, 2.0, 1e-3
 #: Share of a template's bigrams (of the paragraph's, if that is shorter) that confirms a family.
 CONFIRM = 0.5
@@ -152,9 +155,11 @@ def train(unknown: list[str]) -> Model:
             parts = [t] + ([" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])] if len(words) > 24 else [])
             texts += parts
             labels += [k] * len(parts)
-    features = sorted({g for t in texts for g in grams(t)})
-    at = {f: k for k, f in enumerate(features)}
     fit_half, check_half = unknown[::2], unknown[1::2]
+    common = Counter(g for t in fit_half for g in grams(t))
+    # words that plain text is full of tell nothing, and would have the gate let most paragraphs through
+    features = sorted({g for t in texts for g in grams(t) if common[g] <= COMMON * len(fit_half)})
+    at = {f: k for k, f in enumerate(features)}
     negative = UNKNOWN + fit_half
     texts += negative
     labels += [len(FAMILIES) - 1] * len(negative)
