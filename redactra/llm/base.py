@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -69,6 +70,15 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Gives back to the system what a finished pass no longer needs: a worker outlives its tasks,
+    and would add what one pass freed to what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def with_columns_of(
     df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], keep: list[str] | None = None
 ) -> DataFrame:
@@ -89,6 +99,8 @@ def with_columns_of(
         for batch in batches:
             arrays = work(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
+        del work
+        release()
 
     return source.mapInArrow(run, schema)
 

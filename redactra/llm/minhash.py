@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import WordHashes, cut, mixed, named, small_batches, windows, with_columns_of, words_of
+from .base import WordHashes, cut, mixed, named, release, small_batches, windows, with_columns_of, words_of
 from .components import components
 
 WORDS = 5
@@ -165,6 +165,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last = (a, shingles(ta, hashes))
                 out.append(1.0 - similarity(last[1], shingles(tx, hashes)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "x", "distance"])
+        del hashes, last
+        release()
 
     return rows.mapInArrow(run, "a binary, x binary, distance double")
 

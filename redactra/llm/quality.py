@@ -11,6 +11,8 @@ product, row by row.
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import CACHE_WORDS, mixed, named, small_batches, with_columns_of, words_of
+from .base import CACHE_WORDS, mixed, named, release, small_batches, with_columns_of, words_of
 
 BITS = 18
 #: Bound of the training sample, in documents: those of smallest id hash.
@@ -38,12 +40,12 @@ def shape_of(word: bytes) -> str:
 
 
 class _Streams(dict):
-    """Word → (hash of the word, hash of its shape)."""
+    """Word → the hashes of the word and of its shape, as 16 bytes."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        value = xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(shape_of(word), 7)
+        value = struct.pack("<QQ", xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(shape_of(word), 7))
         if len(self) < CACHE_WORDS:
             self[word] = value
         return value
@@ -57,7 +59,7 @@ def features(text: str, streams: _Streams) -> list[np.ndarray]:
     words = words_of(text)
     if not words:
         return []
-    pairs = np.array([streams[w] for w in words], np.uint64)
+    pairs = np.frombuffer(b"".join(map(streams.__getitem__, words)), "<u8").reshape(-1, 2)
     word, shape = pairs[:, 0], pairs[:, 1]
     salt = lambda k: np.uint64(0xA24BAED4963EE407 * k & 0xFFFFFFFFFFFFFFFF)
     found = [word + salt(1), shape + salt(3)]
@@ -74,16 +76,19 @@ def sigmoid(z: float) -> float:
     return 1.0 / (1.0 + np.exp(-min(max(z, -35.0), 35.0)))
 
 
-def fit_leader(samples: list[tuple[list[np.ndarray], int]]) -> np.ndarray:
+def sparse(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of a text, the bias among them, and their weights."""
+    slots = np.concatenate([*found, [1 << BITS]]).astype(np.int64)
+    share = np.concatenate([*(np.full(len(x), 1.0 / len(x)) for x in found), [1.0]])
+    own, back = np.unique(slots, return_inverse=True)
+    return own.astype(np.int32), np.bincount(back, share)
+
+
+def fit_leader(samples: Iterable[tuple[list[np.ndarray], int]]) -> np.ndarray:
     """Weights (the last is the bias) by follow-the-regularised-leader updates, in the order given."""
     size = (1 << BITS) + 1
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    ready = []
-    for found, label in samples:
-        slots = np.concatenate([*found, [size - 1]]).astype(np.int64)
-        share = np.concatenate([*(np.full(len(x), 1.0 / len(x)) for x in found), [1.0]])
-        own, back = np.unique(slots, return_inverse=True)
-        ready.append((own, np.bincount(back, share), label))
+    ready = [(*sparse(found), label) for found, label in samples]
     for _ in range(PASSES):
         for own, x, label in ready:
             zi, ni = z[own], n[own]
@@ -118,11 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     one = rows.select("__label__", "__text__", F.xxhash64("__id__").alias("__at__"), F.xxhash64("__text__").alias("__then__")).repartition(1).sortWithinPartitions("__at__", "__then__")
 
     def train(batches):
-        streams, samples = _Streams(), []
-        for b in batches:
-            samples += [(features(t, streams), y) for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        if samples:
-            yield pa.RecordBatch.from_arrays([pa.array([fit_leader(samples).tobytes()], pa.binary())], names=["weights"])
+        # one text at a time becomes its sparse row; nothing else of the sample is held
+        streams = _Streams()
+        weights = fit_leader((features(t, streams), y) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        del streams
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
     found = one.mapInArrow(train, "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32).copy() if found else np.zeros((1 << BITS) + 1, np.float32)
