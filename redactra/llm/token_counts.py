@@ -51,7 +51,10 @@ class PrefixTrie:
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: Sizes of the pieces of three characters or more, by their last three.
+        self.sizes: dict[str, list[int]] = {}
+        for size, end in sorted({(len(p), p[-3:]) for p in scores if len(p) > 2}):
+            self.sizes.setdefault(end, []).append(size)
         self.clear()
 
     def clear(self) -> None:
@@ -62,25 +65,28 @@ class PrefixTrie:
 
     def insert(self, word: str) -> int:
         """The number of pieces of ``word``; new nodes get their scores on the way."""
-        child, best, count, scores, longest = self.child, self.best, self.count, self.scores, self.longest
+        child, best, count, scores, sizes = self.child, self.best, self.count, self.scores, self.sizes
         path, node = [0], 0
         for end, char in enumerate(word, 1):
             key = (node, char)
             node = child.get(key, -1)
             if node < 0:
-                top, pieces = -math.inf, 0
-                for size in range(1, min(longest, end) + 1):
+                own = scores.get(char)
+                extra = 1
+                if own is None:
+                    extra = len(char.encode("utf-8", "surrogatepass"))
+                    own = BYTE_SCORE * extra
+                before = path[end - 1]
+                top, pieces = best[before] + own, count[before] + extra
+                for size in (2, *sizes.get(word[end - 3 : end], ())) if end > 2 else (2,):
+                    if size > end:
+                        break
                     own = scores.get(word[end - size : end])
-                    extra = 1
-                    if own is None:
-                        if size > 1:
-                            continue
-                        extra = len(char.encode("utf-8", "surrogatepass"))
-                        own = BYTE_SCORE * extra
-                    before = path[end - size]
-                    total, n = best[before] + own, count[before] + extra
-                    if total > top or total == top and n < pieces:
-                        top, pieces = total, n
+                    if own is not None:
+                        before = path[end - size]
+                        total, n = best[before] + own, count[before] + 1
+                        if total > top or total == top and n < pieces:
+                            top, pieces = total, n
                 node = len(best)
                 child[key] = node
                 best.append(top)
