@@ -18,26 +18,37 @@ def guarded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _CUT + _SUB, "  ")
 
 
-def matches(text: Column, regex: str, group: bool = False) -> Column:
-    """All matches with half-open code-point offsets, without leaving the JVM.
-
-    Matches are fenced by a sentinel and the text is split there: gap, match,
-    gap, ...; running lengths give the offsets.  With ``group`` the span is
-    group 1, the end of the match.
-    """
-    fence = _CUT + "$0" + (_SUB + "$1" if group else "") + _CUT
-    parts = F.split(F.regexp_replace(text, F.lit(regex), F.lit(fence)), _CUT, -1)
+def once(value: Column) -> Column:
+    """``value`` as a generated column: what stands above reads it, and never works it out a second time
+    (a plain column is merged into the filters and projections that use it)."""
+    return F.explode(F.array(value))
+
+
+def fenced(text: Column, regex: str, group: bool = False) -> Column:
+    """The text with a sentinel before and after each match; with ``group`` another one before group 1,
+    which ends the match."""
+    return F.regexp_replace(text, F.lit(regex), F.lit(_CUT + "$0" + (_SUB + "$1" if group else "") + _CUT))
+
+
+def fenced_matches(fences: Column) -> Column:
+    """The matches in a text that :func:`fenced` made: split at the sentinel it is gap, match, gap, ...,
+    and running lengths give the offsets.  Empty matches are left out."""
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(MATCHES).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
-        whole = F.substring_index(part, _SUB, 1) if group else part
-        value = F.substring_index(part, _SUB, -1) if group else part
-        end = acc["at"] + F.length(whole)
+        value = F.substring_index(part, _SUB, -1)
+        end = acc["at"] + F.length(F.substring_index(part, _SUB, 1))
         hit = F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("text"))
-        return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), F.when(acc["k"] % 2 == 1, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
+        out = F.when((acc["k"] % 2 == 1) & (value != ""), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), out.alias("out"))
+
+    return F.aggregate(F.split(fences, _CUT, -1), zero, step, lambda acc: acc["out"])
 
-    found = F.aggregate(parts, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(regex), F.filter(found, lambda m: m["end"] > m["start"])).otherwise(F.array().cast(MATCHES))
+
+def matches(text: Column, regex: str, group: bool = False) -> Column:
+    """All matches with half-open code-point offsets, without leaving the JVM.  With ``group`` the span is
+    group 1, the end of the match."""
+    return F.when(text.rlike(regex), fenced_matches(fenced(text, regex, group))).otherwise(F.array().cast(MATCHES))
 
 
 def _digits(value: Column) -> Column:

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 REPLACEMENTS = "array<struct<start:int,end:int,marker:string>>"
 
 
-def segment_starts(segments: Column) -> Column:
-    """The offset of each segment in the whole text."""
-    return F.transform(segments, lambda _, i: F.aggregate(F.slice(segments, F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s)))
-
-
 def normalize(replacements: Column, length: Column) -> Column:
     """Replacements in range, by start and the longer first; later ones that overlap go."""
     sound = F.filter(replacements.cast(REPLACEMENTS), lambda r: (r["start"] >= 0) & (r["end"] > r["start"]) & (r["end"] <= length) & r["marker"].isNotNull())
@@ -32,18 +27,16 @@ def splice(text: Column, replacements: Column) -> Column:
 def splice_segments(segments: Column, replacements: Column) -> Column:
     """Segments with replacements put in: a marker stands in the segment where its span starts, and the
     rest of the span is cut from the segments it reaches into.  No segment goes."""
-    starts = segment_starts(segments)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def one(segment: Column, i: Column) -> Column:
-        lo = F.element_at(starts, i + 1)
-        hi = lo + F.length(segment)
-        mine = F.filter(replacements, lambda r: (r["start"] < hi) & (r["end"] > lo))
+    def one(acc: Column, segment: Column) -> Column:
+        lo, hi = acc["at"], acc["at"] + F.length(segment)
         local = F.transform(
-            mine,
+            F.filter(replacements, lambda r: (r["start"] < hi) & (r["end"] > lo)),
             lambda r: F.struct(
                 F.greatest(r["start"] - lo, F.lit(0)).alias("start"), F.least(r["end"] - lo, F.length(segment)).alias("end"), F.when(r["start"] >= lo, r["marker"]).otherwise("").alias("marker")
             ),
         )
-        return splice(segment, local.cast(REPLACEMENTS))
+        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(splice(segment, local.cast(REPLACEMENTS)))).alias("out"))
 
-    return F.transform(segments, one)
+    return F.aggregate(segments, zero, one, lambda acc: acc["out"])

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import MODES, LANGUAGES, LEVELS, NER_PRIORITY, language_of, level_of
-from ..functions.text import entity_key, guarded, marker
+from ..functions.text import entity_key, guarded, marker, once
 from ..operators.language import accepted, detect_language
 from ..operators.spans import SPANS, detect, resolve_overlaps
 from ..operators.splice import REPLACEMENTS, splice, splice_segments
-from ..operators.units import split_lines, with_previous
+from ..operators.units import document_units
 from ..session import ship
 
 
@@ -52,7 +52,7 @@ class Anonymizer:
             )
             units = units.join(own, ["doc_id", "unit_seq"], "left")
             found = F.concat(found, F.coalesce(F.col("__names__").cast(SPANS), F.array().cast(SPANS)))
-        return units.withColumn("spans", resolve_overlaps(found)).drop("__g__", "__names__")
+        return units.withColumn("spans", once(resolve_overlaps(found))).drop("__g__", "__names__")
 
     def replacements(self, units: DataFrame) -> DataFrame:
         """doc_id, unit_seq, kind, n, marker, start, end, text: one row for each replacement."""
@@ -141,7 +141,7 @@ class Anonymizer:
 
 def anonymize_texts(docs: DataFrame, anonymizer: Anonymizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and redacted: whole texts, their lines as units with the line before as context."""
-    units = with_previous(split_lines(docs, id_col, text_col))
+    units = document_units(docs, id_col, text_col)
     found = anonymizer.replacements(units).groupBy("doc_id", "unit_seq").agg(F.array_sort(F.collect_list(F.struct("start", "end", "marker"))).cast(REPLACEMENTS).alias("r"))
     lines = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_seq", "r"))).alias("m"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(lines, "doc_id", "left")

@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.with_previous(units.split_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return units.document_units(_table(spark, sf_dir, "documents"))
 
 
 def units_with_context(spark, sf_dir):
@@ -58,12 +58,11 @@ def detect_url(spark, sf_dir):
 
 
 def spans_by_kind_level(spark, sf_dir):
-    rows = _units(spark, sf_dir)
-    out = None
-    for name in ("soft", "balanced", "full"):
-        found = Anonymizer(name).spans(rows).select(F.explode("spans").alias("s")).groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n")).withColumn("level", F.lit(name))
-        out = found if out is None else out.unionByName(found)
-    return out
+    """One detection with all rules; each level keeps the spans of its own rules before overlaps are resolved."""
+    found = _units(spark, sf_dir).select(fx.once(spans.detect(fx.guarded(F.col("text")), F.col("context"), FULL)).alias("f")).where(F.size("f") > 0)
+    kinds = lambda rank: F.transform(spans.resolve_overlaps(spans.at_level(F.col("f"), rank)), lambda s: s["kind"])
+    each = found.select(F.explode(F.array(*(F.struct(F.lit(n).alias("level"), kinds(level_of(n)).alias("kinds")) for n in ("soft", "balanced", "full")))).alias("e"))
+    return each.select("e.level", F.explode("e.kinds").alias("kind")).groupBy("kind", "level").agg(F.count("*").alias("n")).select("kind", "n", "level")
 
 
 _CUSTOMER_KEYS = "SELECT c_custkey AS k FROM customer"
@@ -177,12 +176,13 @@ def overlap_resolution(spark, sf_dir):
 
 
 def splice_segments(spark, sf_dir):
-    """Texts in segments of 40, with a span across the first border: joined again, they are the spliced text."""
-    docs = _table(spark, sf_dir, "documents").where(F.length("text") >= 100).select("doc_id", F.substring("text", 1, 100).alias("text"))
-    cut = docs.withColumn("segments", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.substring(F.col("text"), i * 40 + 1, F.lit(40))))
-    edits = F.array(F.struct(F.lit(30).alias("start"), F.lit(50).alias("end"), F.lit("[X_1]").alias("marker")), F.struct(F.lit(90).alias("start"), F.lit(95).alias("end"), F.lit("[X_2]").alias("marker"))).cast(splice.REPLACEMENTS)
-    out = splice.splice_segments(F.col("segments"), edits)
-    return cut.select("doc_id", F.array_join(out, "").alias("joined"), out[0].alias("first"), out[1].alias("second"), splice.splice(F.col("text"), edits).alias("whole"))
+    """Whole texts in segments of 40, with a span across the first border: joined again, they are the spliced text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = F.greatest(F.ceil(F.length("text") / 40), F.lit(1)).cast("int")
+    wanted = F.array(F.struct(F.lit(30).alias("start"), F.lit(50).alias("end"), F.lit("[X_1]").alias("marker")), F.struct(F.lit(90).alias("start"), F.lit(95).alias("end"), F.lit("[X_2]").alias("marker")))
+    rows = docs.withColumn("segments", F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(F.col("text"), i * 40 + 1, F.lit(40)))).withColumn("edits", splice.normalize(wanted, F.length("text")))
+    out = rows.select("doc_id", fx.once(splice.splice_segments(F.col("segments"), F.col("edits"))).alias("s"), splice.splice(F.col("text"), F.col("edits")).alias("whole"))
+    return out.select("doc_id", F.array_join("s", "").alias("joined"), F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"), "whole")
 
 
 def sheet_name_safe(spark, sf_dir):
@@ -332,9 +332,10 @@ n AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: list_contains({la
 SELECT doc_id, CASE WHEN n < 20 OR es + en = 0 THEN 'es' WHEN es >= en * 1.15 THEN 'es' WHEN en > es * 1.15 THEN 'en' ELSE 'es' END AS lang FROM n""",
     "sheet_name_safe": "SELECT n_nationkey, substr(translate('[NAME_1] of the sheets of ' || n_name, '[]', '()'), 1, 31) AS title FROM nation",
     "line_padding": "SELECT doc_id, CAST(greatest(0, greatest(1, ceil(length(text) / 80.0)) - 1) AS BIGINT) AS breaks FROM documents",
-    "splice_segments": """WITH d AS (SELECT doc_id, substr(text, 1, 100) AS t FROM documents WHERE length(text) >= 100)
-SELECT doc_id, substr(t, 1, 30) || '[X_1]' || substr(t, 51, 40) || '[X_2]' || substr(t, 96) AS joined, substr(t, 1, 30) || '[X_1]' AS first, substr(t, 51, 30) AS second,
-  substr(t, 1, 30) || '[X_1]' || substr(t, 51, 40) || '[X_2]' || substr(t, 96) AS whole FROM d""",
+    "splice_segments": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT *, CASE WHEN n >= 95 THEN substr(t, 1, 30) || '[X_1]' || substr(t, 51, 40) || '[X_2]' || substr(t, 96) WHEN n >= 50 THEN substr(t, 1, 30) || '[X_1]' || substr(t, 51) ELSE t END AS whole FROM d)
+SELECT doc_id, whole AS joined, CASE WHEN n >= 50 THEN substr(t, 1, 30) || '[X_1]' ELSE substr(t, 1, 40) END AS first,
+  CASE WHEN n >= 50 THEN substr(t, 51, 30) WHEN n > 40 THEN substr(t, 41) END AS second, whole FROM s""",
     "header_row": "SELECT DISTINCT o_custkey AS doc_id, CAST(1 AS BIGINT) AS header_row FROM orders",
     "tabular_numeric_mask": f"WITH {_CELLS} SELECT doc_id, row, CAST(3 AS BIGINT) AS col, row - 1 AS n, '[VALUE_' || (row - 1) || ']' AS marker FROM cells",
     "structure_cells": f"""WITH {_CELLS}

@@ -116,3 +116,27 @@ def test_word_round_trip(spark, tmp_path):
     edited = ooxml.edit_package(data, {"word/document.xml": ["Ana ", "[EMAIL_1]"]})
     assert ooxml.node_texts(edited, "word/document.xml") == ["Ana ", "[EMAIL_1]"]
     assert ooxml.edit_package(data, {"word/document.xml": ["Ana ", "a@x.org"]}) and ooxml.node_texts(data, "word/document.xml") == ["Ana ", "a@x.org"]
+
+
+def test_units_within_rows_are_those_of_the_window(spark):
+    from redactra.operators.units import document_units, split_lines, with_previous
+
+    docs = spark.createDataFrame([(1, "a\n\n b \nc"), (2, None), (3, ""), (4, " \n\t\n"), (5, "x" * 200 + "\ny"), (5, "z")], "doc_id long, text string")
+    one = docs.where("doc_id < 5 or text != 'z'")  # the window needs distinct ids
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "unit_seq", "text", "context").collect()))
+    assert rows(document_units(one)) == rows(with_previous(split_lines(one)))
+    assert (5, 0, "z", "") in rows(document_units(docs))
+
+
+def test_segments_of_a_long_text(spark):
+    from pyspark.sql import functions as F
+
+    from redactra.operators import splice
+
+    text = "abcdefghij" * 300
+    edits = "array(named_struct('start', 5, 'end', 25, 'marker', '[A_1]'), named_struct('start', 2990, 'end', 3000, 'marker', '[B_1]'))"
+    rows = spark.createDataFrame([([text[i : i + 10] for i in range(0, len(text), 10)],), ([],), (["", text, ""],)], "segments array<string>").withColumn("r", F.expr(edits).cast(splice.REPLACEMENTS))
+    out = [r[0] for r in rows.select(splice.splice_segments(F.col("segments"), F.col("r"))).collect()]
+    assert [len(o) for o in out] == [300, 0, 3]
+    whole = text[:5] + "[A_1]" + text[25:2990] + "[B_1]"
+    assert "".join(out[0]) == whole and out[0][:3] == ["abcde[A_1]", "", "fghij"] and out[2] == ["", whole, ""]
