@@ -80,6 +80,12 @@ TEMPLATES = {
         "Licensed under the Mozilla Public License 2.0.",
     ],
     "proprietary": [
+        "All rights reserved.",
+        "Copyright 2024 Example Corp. All rights reserved.",
+        "Copyright (c) 2024",
+        "Copyright © 2024",
+        "Copyright 2024",
+        "© 2024",
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
         "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
@@ -90,6 +96,7 @@ UNKNOWN = [
     "The general public may use this work.", "Software is available to any person.", "Released in version 3.", "The license plate was found.",
     "He works under the terms of the contract.", "A copy of the documentation is attached.", "The library is open to the public.", "Apache helicopters landed in the field.",
     "MIT is a university in Cambridge.", "Copyright law protects authors.", "Conditions are met.", "This program is on television.", "It is licensed and insured.",
+    "It was founded in 1998.", "Section (c) was added in 2007.",
 ]
 FAMILIES = [*TEMPLATES, "unknown"]
 #: Corpus paragraphs used as unknown: half to fit, half to calibrate.
@@ -99,17 +106,23 @@ COMMON = 0.005
 ROUNDS, RATE, DECAY = 300, 2.0, 1e-3
 #: Share of a template's bigrams (of the paragraph's, if that is shorter) that confirms a family.
 CONFIRM = 0.5
-_WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
+_WORD = r"[a-z0-9]+(?:\.[0-9]+)*|©"
+#: A word that is a year counts as this one, so that a notice of any year is like the template's.
+_YEAR, YEAR = "(?:19|20)[0-9]{2}", "0000"
+
+
+def words_of(text: str) -> list[str]:
+    return [YEAR if re.fullmatch(_YEAR, w) else w for w in re.findall(_WORD, text.lower())]
 
 
 def grams(text: str) -> set[str]:
-    words = re.findall(_WORD, text.lower())
+    words = words_of(text)
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
 def gram_columns(text: Column) -> tuple[Column, Column]:
     """Distinct unigrams and bigrams of a text, and its distinct bigrams (unigrams if it has one word)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: F.when(w.rlike(f"^{_YEAR}$"), YEAR).otherwise(w))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     pairs = F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))
     return F.array_distinct(F.concat(words, pairs)), F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
@@ -135,7 +148,7 @@ class Model:
                 break
             removed.append(w)
             allowed &= np.array([w not in ws for ws in word_of])
-        return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(removed)) + r")(?![a-z0-9])"
+        return r"(?i)(?<![a-z0-9])(?:" + "|".join(_YEAR if w == YEAR else re.escape(w) for w in sorted(removed)) + r")(?![a-z0-9])"
 
     def scores(self, texts: list[str]) -> np.ndarray:
         at = {f: k for k, f in enumerate(self.features)}
@@ -232,5 +245,5 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def _pairs(text: str) -> set[str]:
-    words = re.findall(_WORD, text.lower())
+    words = words_of(text)
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words)

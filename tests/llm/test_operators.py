@@ -245,3 +245,20 @@ def test_licences_of_templates_and_plain_text(spark):
     assert {k: f for k, f in want.items() if k in got} == got
     assert sum(got.get(k) == f for k, f in enumerate(known)) >= 0.9 * len(known)
     assert all(k < len(known) for k in got)
+
+
+def test_planted_notices_are_all_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kinds = {
+        "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    }
+    lines = licenses.paragraphs(docs, "doc_id", "text").where(F.col("text").isin(list(kinds))).cache()
+    planted = {r["text"]: r["count"] for r in lines.groupBy("text").count().collect()}
+    model = licenses.fit(docs)
+    found = licenses.scan(docs, model).where("confirmed").join(lines, ["doc_id", "paragraph"]).groupBy("text", "family").count().collect()
+    assert set(planted) == set(kinds)
+    assert {(r["text"], r["family"]): r["count"] for r in found} == {(t, kinds[t]): n for t, n in planted.items()}
+    short = ["Copyright 2019 Some Firm. All rights reserved.", "Copyright (c) 1998 Jane Doe", "Copyright © 2021 Some Firm", "Copyright 2007 Jane Doe", "© 2020 Some Firm"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate([*short, "Copyright law protects authors.", "The town grew until 2011."])), "doc_id long, text string"), model)
+    assert {r["doc_id"]: (r["family"], r["confirmed"]) for r in got.collect()} == {k: ("proprietary", True) for k in range(len(short))}
