@@ -2,8 +2,9 @@
 
 A multinomial logistic regression over word unigrams and bigrams (present or
 not) is fitted on the driver to the fixed texts below and to a bounded sample
-of the corpus as the unknown class; the unknown class's bias is then raised
-until no unknown text of a second sample is taken for a licence.  A paragraph
+of the corpus as the unknown class, less the lines that a template confirms;
+each family's bias is then lowered until no unknown text of a second sample is
+taken for it.  A paragraph
 can only win if it holds some feature of weight, so a regular expression of the
 heaviest words, chosen such that all others together cannot reach, gates the
 corpus.  Distinct gated paragraphs are scored by a join with the weights, and a
@@ -106,6 +107,7 @@ COMMON = 0.005
 ROUNDS, RATE, DECAY = 300, 2.0, 1e-3
 #: Share of a template's bigrams (of the paragraph's, if that is shorter) that confirms a family.
 CONFIRM = 0.5
+_ALL = [t for texts in TEMPLATES.values() for t in texts]
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)*|©"
 #: A word that is a year counts as this one, so that a notice of any year is like the template's.
 _YEAR, YEAR = "(?:19|20)[0-9]{2}", "0000"
@@ -128,6 +130,26 @@ def gram_columns(text: Column) -> tuple[Column, Column]:
     return F.array_distinct(F.concat(words, pairs)), F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
+def is_notice(text: str) -> bool:
+    """Whether a template confirms a text: it holds the share CONFIRM of the template's bigrams, or of its own
+    if those are fewer and two at least are the template's (a plain line of two words is no notice)."""
+    own = _pairs(text)
+    shared = [(len(own & k), len(k)) for k in map(_pairs, _ALL)]
+    return any(n >= CONFIRM * k or n >= max(2, CONFIRM * len(own)) for n, k in shared)
+
+
+def notice(text: Column) -> Column:
+    """:func:`is_notice` as a column."""
+    known = F.array(*(F.split(F.lit("|".join(sorted(_pairs(t)))), r"\|") for t in _ALL))
+
+    def confirms(own: Column, template: Column) -> Column:
+        n = F.size(F.array_intersect(own, template))
+        return (n >= CONFIRM * F.size(template)) | (n >= F.greatest(F.lit(2.0), CONFIRM * F.size(own)))
+
+    # the bigrams as a lambda's variable, so that they are worked out once
+    return F.exists(F.array(gram_columns(text)[1]), lambda own: F.exists(known, lambda k: confirms(own, k)))
+
+
 class Model:
     """``features`` (rows of ``weights``), the bias and the gate."""
 
@@ -168,6 +190,7 @@ def train(unknown: list[str]) -> Model:
             parts = [t] + ([" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])] if len(words) > 24 else [])
             texts += parts
             labels += [k] * len(parts)
+    unknown = [t for t in unknown if not is_notice(t)]
     fit_half, check_half = unknown[::2], unknown[1::2]
     common = Counter(g for t in fit_half for g in grams(t))
     # words that plain text is full of tell nothing, and would have the gate let most paragraphs through
@@ -193,9 +216,9 @@ def train(unknown: list[str]) -> Model:
         w -= RATE * (x.T @ g + DECAY * w)
         b -= RATE * g.sum(0)
     model = Model(features, w, b)
-    held = model.scores([*UNKNOWN, *check_half])
-    short = float((held[:, :-1].max(1) - held[:, -1]).max()) + 0.5
-    b[-1] += max(0.0, short)
+    # the empty text: a family must not win without any feature, which the gate relies on
+    held = model.scores(["", *UNKNOWN, *check_half])
+    b[:-1] -= np.maximum(0.0, (held[:, :-1] - held[:, -1:]).max(0) + 0.5)
     return Model(features, w, b)
 
 
@@ -206,14 +229,15 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The model, with the first paragraphs of the ``sample`` documents of smallest id hash as unknown,
-    less those that speak of licences themselves."""
+    less those that speak of licences themselves or that a template confirms."""
     first = docs.select(named(id_col).alias("i"), F.substring_index(F.coalesce(named(text_col), F.lit("")), "\n", 1).alias("t"))
     plain = first.where(~F.col("t").rlike("(?i)licen[cs]|copyright|permission|rights reserved|redistribut")).withColumn("h", F.xxhash64("i"))
     # of the smallest hashes a part, four times as many as wanted, is looked at: else each partition sends ``sample`` rows to be merged
     share = 4 * sample / max(1, docs.count())
-    rows = plain.where(F.col("h") <= int(share * 2**64) - 2**63).orderBy("h", "t").limit(sample).collect() if share < 1 else []
+    part = plain.where(F.col("h") <= int(share * 2**64) - 2**63) if share < 1 else None
+    rows = part.where(~notice(F.col("t"))).orderBy("h", "t").limit(sample).collect() if part is not None else []
     if len(rows) < sample:
-        rows = plain.orderBy("h", "t").limit(sample).collect()
+        rows = plain.where(~notice(F.col("t"))).orderBy("h", "t").limit(sample).collect()
     return train([r["t"] for r in rows])
 
 

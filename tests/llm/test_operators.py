@@ -262,3 +262,22 @@ def test_planted_notices_are_all_found(spark):
     short = ["Copyright 2019 Some Firm. All rights reserved.", "Copyright (c) 1998 Jane Doe", "Copyright © 2021 Some Firm", "Copyright 2007 Jane Doe", "© 2020 Some Firm"]
     got = licenses.scan(spark.createDataFrame(list(enumerate([*short, "Copyright law protects authors.", "The town grew until 2011."])), "doc_id long, text string"), model)
     assert {r["doc_id"]: (r["family"], r["confirmed"]) for r in got.collect()} == {k: ("proprietary", True) for k in range(len(short))}
+
+
+def test_notices_in_the_sample_do_not_count_as_plain(spark):
+    plain = [f"the river number {k} flows to the sea" for k in range(200)]
+    notices = [t for t in ("Released under the GPL v3.", "This work is dedicated to the public domain under CC0 1.0 Universal.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.") for _ in range(4)]
+    model = licenses.train([*notices, *plain])
+    known = [(f, t) for f in licenses.TEMPLATES for t in licenses.TEMPLATES[f]]
+    assert [licenses.FAMILIES[int(k)] for k in model.scores([t for _, t in known]).argmax(1)] == [f for f, _ in known]
+    # a line that no template confirms, but that wins for one family, takes nothing from the others
+    odd = licenses.train([*plain, *["dedicated to the public domain of ideas and of all the rivers in a wide valley"] * 2])
+    found = [licenses.FAMILIES[int(k)] == f for k, (f, _) in zip(odd.scores([t for _, t in known]).argmax(1), known, strict=True) if f != "CC0"]
+    assert all(found)
+    texts = [t for _, t in known] + licenses.UNKNOWN + ["", "the software", "of the", "Released under the GPL v3. and then", "© 2021", plain[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", licenses.notice(F.col("t"))).collect()
+    assert dict(map(tuple, rows)) == {k: licenses.is_notice(t) for k, t in enumerate(texts)}
+    assert all(licenses.is_notice(t) for _, t in known) and not any(map(licenses.is_notice, ["the software", "of the", "", *plain]))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(notices * 3 + plain)], "doc_id long, text string")
+    got = licenses.scan(docs, licenses.fit(docs, sample=100)).where("confirmed").groupBy("family").count().collect()
+    assert dict(map(tuple, got)) == {"GPL-3.0": 12, "CC0": 12, "proprietary": 12}
