@@ -4,7 +4,8 @@ What can fill a sequence depends on lengths alone, and there are no more
 lengths than the sequence is long.  So the plan is made on the histogram of
 lengths: sums of one, two and three lengths are indexed, combinations that fill
 a sequence exactly are consumed as far as the counts go, and what is left is
-packed by best fit, largest first, bins of one shape at a time.  Pieces then
+packed by best fit, largest first, bins of one shape at a time; the gap that each
+piece leaves in a bin is looked up in the same sums first.  Pieces then
 find their place by their rank among the pieces of their length.
 """
 
@@ -68,18 +69,62 @@ def cut_pieces(
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
+class _Sums:
+    """The counts left, and which sums of one, two and three of them there are."""
+
+    def __init__(self, counts: np.ndarray, capacity: int) -> None:
+        self.left = [int(x) for x in counts]
+        self.there = np.array(self.left[: capacity + 1]) > 0
+        self.there[0] = False
+        twice = np.array(self.left[: capacity + 1]) > 1
+        #: By sum: how many pairs of different lengths, and of a length that is there twice.
+        self.pairs = np.convolve(self.there.astype(np.int64), self.there)[: capacity + 1]
+        same = np.flatnonzero(self.there[: capacity // 2 + 1])
+        self.pairs[2 * same] -= 1
+        self.pairs //= 2
+        self.pairs[2 * np.flatnonzero(twice[: capacity // 2 + 1])] += 1
+
+    def use(self, x: int, n: int) -> None:
+        before, self.left[x] = self.left[x], self.left[x] - n
+        if before > 1 >= self.left[x] and 2 * x < len(self.pairs):
+            self.pairs[2 * x] -= 1
+        if before and not self.left[x]:
+            self.there[x] = False
+            self.pairs[x:] -= self.there[: len(self.pairs) - x]
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        return min(self.left[x] // lengths.count(x) for x in lengths)
+
+    def _two(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Two lengths that fill ``gap``, the most alike first."""
+        lows = np.flatnonzero(self.there[1 : gap // 2 + 1] & self.there[gap - 1 : gap - gap // 2 - 1 : -1]) + 1
+        return next((x for c in lows[::-1].tolist() if self.times(x := (*taken, gap - c, c))), None)
+
+    def fill(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        """``taken`` and one, two or three lengths that fill ``gap`` exactly, as far as the counts go."""
+        if self.there[gap] and self.times((*taken, gap)):
+            return (*taken, gap)
+        if self.pairs[gap] and (found := self._two(gap, taken)):
+            return found
+        # sums of three: a length and a sum of two
+        thirds = np.flatnonzero(self.there[1 : max(1, gap - 1)] & (self.pairs[gap - 1 : 1 : -1] > 0)) + 1 if gap > 2 else ()
+        for b in reversed(thirds):
+            if (self.times((*taken, int(b)))) and (found := self._two(gap - int(b), (*taken, int(b)))):
+                return found
+        return None
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that use up ``counts`` (index: length).  Each step exhausts a length or a shape of bin,
     so patterns are a few for each length, whatever the counts."""
-    left = [int(x) for x in counts]
+    sums = _Sums(counts, capacity)
+    left, there = sums.left, sums.there
     patterns: list[Pattern] = []
 
     def take(times: int, *lengths: int) -> None:
-        runs: dict[int, int] = {}
-        for x in lengths:
-            runs[x] = runs.get(x, 0) + 1
+        runs = {x: lengths.count(x) for x in lengths}
         for x, k in runs.items():
-            left[x] -= k * times
+            sums.use(x, k * times)
         patterns.append((tuple(runs.items()), times))
 
     if left[capacity]:
@@ -88,7 +133,6 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
         b = capacity - a
         if left[a] and left[b] and (a != b or left[a] > 1):
             take(left[a] // 2 if a == b else min(left[a], left[b]), a, b)
-    there = np.array(left[: capacity + 1]) > 0
     for a in range(capacity - 2, (capacity - 1) // 3, -1):  # triples, by their largest
         if not left[a]:
             continue
@@ -98,14 +142,13 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
             b = gap - c
             if b > a:
                 continue
-            own = {x: (a, b, c).count(x) for x in (a, b, c)}
-            times = min(left[x] // k for x, k in own.items())
-            if times:
+            if times := sums.times((a, b, c)):
                 take(times, a, b, c)
-                for x in own:
-                    there[x] = left[x] > 0
             if not left[a]:
                 break
+    for a in range(capacity - 1, 0, -1):  # whatever one, two or three others fill, by the largest
+        while left[a] and (found := sums.fill(capacity - a, (a,))):
+            take(sums.times(found), *found)
     bins: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # by gap
     open_gaps = np.zeros(capacity + 1, bool)
 
@@ -114,23 +157,25 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
         open_gaps[gap] = True
 
     for size in range(capacity, 0, -1):
-        n = left[size]
-        while n:
+        while left[size]:
             fits = np.flatnonzero(open_gaps[size:])
             if len(fits):
                 gap = size + int(fits[0])
                 runs, times = bins[gap].pop()
                 open_gaps[gap] = bool(bins[gap])
-                k = min(gap // size, n)  # so many of this length into one bin, as best fit would in turn
-                full = min(times, n // k)
-                put(gap - k * size, (*runs, (size, k)), full)
-                if times > full:
-                    put(gap, runs, times - full)
-                n -= k * full
             else:
-                k = min(capacity // size, n)
-                put(capacity - k * size, ((size, k),), n // k)
-                n -= k * (n // k)
+                gap, runs, times = capacity, (), left[size]
+            most = min(gap // size, left[size])  # so many of this length into one bin, as best fit would in turn
+            # each piece placed leaves a gap, which others may fill exactly
+            exact = next((x for k in range(1, most + 1) if gap > k * size and (x := sums.fill(gap - k * size, (size,) * k))), None)
+            inside = exact or (size,) * most
+            full = min(times, sums.times(inside))
+            added = tuple((x, inside.count(x)) for x in dict.fromkeys(inside))
+            for x, k in added:
+                sums.use(x, k * full)
+            put(gap - sum(inside), (*runs, *added), full)
+            if runs and times > full:
+                put(gap, runs, times - full)
     return patterns + [x for shapes in bins.values() for x in shapes]
 
 

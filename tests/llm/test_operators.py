@@ -281,3 +281,17 @@ def test_notices_in_the_sample_do_not_count_as_plain(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(notices * 3 + plain)], "doc_id long, text string")
     got = licenses.scan(docs, licenses.fit(docs, sample=100)).where("confirmed").groupBy("family").count().collect()
     assert dict(map(tuple, got)) == {"GPL-3.0": 12, "CC0": 12, "proprietary": 12}
+
+
+def test_packing_fills_by_sums_of_three_and_open_bins():
+    rng = np.random.default_rng(0)
+    # four pieces a sequence (best fit alone: 5,527 and 5,559), and six with open bins filled (3,203)
+    for low, high, most in ((860, 1181, 5010), (900, 1151, 5095), (550, 701, 3150)):
+        counts = np.bincount(rng.integers(low, high, 20_000), minlength=packing.CAPACITY + 1)
+        patterns, used = packing.plan(counts), np.zeros(packing.CAPACITY + 1, np.int64)
+        for runs, times in patterns:
+            assert times > 0 and sum(x * k for x, k in runs) <= packing.CAPACITY
+            for x, k in runs:
+                used[x] += k * times
+        assert (used == counts).all() and sum(times for _, times in patterns) <= most
+    assert sum(times for _, times in packing.plan(np.bincount([7, 9, 11, 13, 7, 9, 11, 13], minlength=41), 40)) == 2
