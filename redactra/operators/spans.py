@@ -13,7 +13,7 @@ from ..functions.text import CHECKS, fenced, fenced_matches
 SPANS = "array<struct<start:int,end:int,kind:string,text:string,priority:int,source:string,rule:int>>"
 
 #: A unit without any of these holds no match of any rule: a digit, @ / \ : =, or a keyword of a rule that needs neither.
-_GATE = r"(?iU)[\d@/\\:=]|www\.|bearer|authorization|api[_-]?key|access[_-]?token|base\s+de\s+datos|database|esquema|schema|dbname|catalog|contra[ct]|expediente|acuerdo|p[oó]liza|policy|protocolo|factura|invoice|albar|pedido|presupuesto|boleta|\bn[º°o]?\s*(?:af|cliente|socio|miembro|registro)|[a-z0-9-]\.(?:local|lan|internal|corp|intranet|int|priv)\b|\bey[a-z0-9_-]{8}|[(\[][A-Z_]"
+_GATE = r"(?iU)[\d@/\\:=]|www\.|bearer|authorization|api[_-]?key|access[_-]?token|base\s+de\s+datos|database|esquema|schema|dbname|catalog|contra[ct]|expediente|acuerdo|p[oó]liza|policy|protocolo|factura|invoice|albar|pedido|presupuesto|boleta|\bn[º°o]?\s*(?:af|cliente|socio|miembro|registro)|[a-z0-9-]\.(?:local|lan|internal|corp|intranet|int|priv)\b|\bey[a-z0-9_-]{8}|(?:sk|pk|rk)_(?:live|test)_|AKIA|gh[pousr]_|[(\[][A-Z_]"
 
 
 def _looked_up(rules: Sequence[tuple[int, RuleSpec]], field: Callable[[RuleSpec], object]) -> Callable[[Column], Column]:
