@@ -16,7 +16,7 @@ from redactra.llm.tokenization import public_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, without the lines that failed."""
     return rules.keep_good(docs)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import WordHashes, windows, with_columns_of, words_of
+from .base import WordHashes, named, windows, with_columns_of, words_of
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -120,12 +120,17 @@ def apply_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text the rules keep, unchanged."""
-    marked = T.StructField("__rules_kept__", T.BooleanType())
+    """The rows of ``docs`` whose text the rules keep, without the lines that failed."""
+    marked = [T.StructField("__rules_kept__", T.BooleanType()), T.StructField("__clean__", T.StringType())]
 
     def make():
         hashes = WordHashes()
-        return lambda texts: [pa.array([judge(t, hashes)[6] for t in texts], pa.bool_())]
 
-    out = with_columns_of(docs, text_col, [marked], make)
-    return out.where(F.col("__rules_kept__")).drop("__rules_kept__")
+        def work(texts: list[str]) -> list[pa.Array]:
+            verdicts = [judge(t, hashes) for t in texts]
+            return [pa.array([v[6] for v in verdicts], pa.bool_()), pa.array([v[8] if v[6] else None for v in verdicts], pa.string())]
+
+        return work
+
+    out = with_columns_of(docs, text_col, marked, make, [c for c in docs.columns if c != text_col]).where(F.col("__rules_kept__"))
+    return out.select(*((F.col("__clean__").alias(c) if c == text_col else named(c)) for c in docs.columns))

@@ -295,3 +295,13 @@ def test_packing_fills_by_sums_of_three_and_open_bins():
                 used[x] += k * times
         assert (used == counts).all() and sum(times for _, times in patterns) <= most
     assert sum(times for _, times in packing.plan(np.bincount([7, 9, 11, 13, 7, 9, 11, 13], minlength=41), 40)) == 2
+
+
+def test_pipeline_rules_remove_failed_lines(spark):
+    import corpus_pipeline
+
+    texts = [WORDS + "\nAll rights reserved.\nHome | News | About\n" + WORDS.replace("w", "v"), WORDS, "too short", None]
+    docs = docs_of(spark, texts)
+    out = corpus_pipeline.quality_rules(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: WORDS + "\n" + WORDS.replace("w", "v"), 1: WORDS}
