@@ -305,3 +305,64 @@ def test_pipeline_rules_remove_failed_lines(spark):
     out = corpus_pipeline.quality_rules(spark, docs, "")
     assert out.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: WORDS + "\n" + WORDS.replace("w", "v"), 1: WORDS}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    good = [" ".join(f"w{v}" for v in rng.integers(0, 4000, 60)) + " end." for _ in range(24)]
+    texts = good + [g.replace(" end.", " fin.") for g in good[:6]] + [g + "\nAll rights reserved." for g in good[6:9]] + ["BUY!! NOW!! " + " ".join(f"Q{v}!!" for v in rng.integers(0, 4000, 60)) for _ in range(8)] + [None, "short"]
+    docs = spark.createDataFrame([(k, t, "a" if k % 4 else "b") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 33)) for k in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, stages = spark.read.parquet(f"{tmp_path}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "quality_classifier", "near_duplicates", "source_mixing", "best_fit_packing"]
+
+    def run(name):
+        before = sorted(now.collect())
+        after = stages[name](spark, now, str(tmp_path))
+        after.write.parquet(f"{tmp_path}/{name}")
+        return before, spark.read.parquet(f"{tmp_path}/{name}")
+
+    before, after = run("quality_rules")
+    judged = [(r, rules.judge(r["text"] or "", rules.WordHashes())) for r in before]
+    assert sorted(map(tuple, after.collect())) == sorted((r["doc_id"], v[8], r["source"]) for r, v in judged if v[6])
+    now = after
+    weights = quality.fit(now, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    before, after = run("quality_classifier")
+    assert sorted(after.collect()) == [r for r in before if quality.sigmoid(quality.dot(weights, quality.features(r["text"], quality._Streams()))) >= 0.5]
+    now = after
+    before, after = run("near_duplicates")
+
+    def bag(t):
+        w = t.split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    bags, root = [bag(r["text"]) for r in before], list(range(len(before)))
+    for _ in range(3):
+        for i, a in enumerate(bags):
+            for j, b in enumerate(bags):
+                if (a & b).total() >= 0.8 * (a | b).total():
+                    root[i] = root[j] = min(root[i], root[j])
+    assert sorted(after.collect()) == [before[k] for k in sorted(set(root))] and len(set(root)) < len(before)
+    now = after
+    before, after = run("source_mixing")
+    tokens = {s: sum(len(r["text"].split()) for r in before if r["source"] == s) for s in "ab"}
+    shares = mixing.mix_weights(tokens, mixing.find_exponent(tokens, sum(tokens.values())))
+    uses, most = Counter(after.collect()), max(len(r["text"].split()) for r in before)
+    assert set(uses) <= set(before)
+    for s in "ab":
+        own = [uses[r] for r in before if r["source"] == s]
+        used = sum(len(r["text"].split()) * n for r, n in uses.items() if r["source"] == s)
+        assert max(own) - min(own) <= 1 and 0 <= used - round(shares[s] * sum(tokens.values())) < most
+    now = after
+    before, after = run("best_fit_packing")
+    from redactra.llm.tokenization import encoder
+
+    encode = encoder(public_path("word_bpe_49k.json"), False).encode
+    data = [(r["doc_id"], encode(r["text"]) + np.array([1], "<u4").tobytes()) for r in before]
+    rows = after.collect()
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in rows) == sorted((k, len(d) // 4, zlib.crc32(d)) for k, d in data)
+    held = Counter((r["sequence_id"], r["offset"] + i) for r in rows for i in range(r["length"]))
+    assert max(held.values()) == 1 and max(at for _, at in held) < packing.CAPACITY
