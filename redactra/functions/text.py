@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def fenced(text: Column, regex: str, group: bool = False) -> Column:
+def fenced(text: Column, regex: str | Column, group: bool = False) -> Column:
     """The text with a sentinel before and after each match; with ``group`` another one before group 1,
     which ends the match."""
     return F.regexp_replace(text, F.lit(regex), F.lit(_CUT + "$0" + (_SUB + "$1" if group else "") + _CUT))
@@ -119,12 +120,32 @@ def valid_luhn(value: Column) -> Column:
 
 CHECKS = {"rut": valid_rut, "dni": valid_dni, "nie": valid_nie, "cif": valid_cif, "iban": valid_iban, "luhn": valid_luhn}
 
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+@cache
+def _folding() -> tuple[str, str, str, str, dict[str, str]]:
+    """Tables made from the Unicode database: letters with marks and their plain ones, lone marks, and what case
+    folding does beyond small letters (for one character each; longer ones apart)."""
+    chars = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn") for c in chars}
+    plain = {c: b for c, b in bare.items() if len(b) == 1 and b != c}
+    marks = "".join(c for c, b in bare.items() if not b)
+    folded = {c: c.lower().casefold() for c in chars if c not in plain and c == c.lower() and c.casefold() != c}
+    short = {c: f for c, f in folded.items() if len(f) == 1}
+    long = {c: f for c, f in folded.items() if len(f) > 1 and all(x not in marks for x in f)}
+    return "".join(plain) + marks, "".join(plain.values()), "".join(short), "".join(short.values()), long
 
 
 def strip_accents(value: Column) -> Column:
-    return F.translate(value, _ACCENTED + _ACCENTED.upper(), _PLAIN + _PLAIN.upper())
+    """The text decomposed and without its marks."""
+    old, new, *_ = _folding()
+    return F.translate(value, old, new)
+
+
+def casefold(value: Column) -> Column:
+    """Small letters, and what Unicode folds beyond them (``ß`` to ``ss``)."""
+    _, _, old, new, long = _folding()
+    value = F.translate(F.lower(value), old, new)
+    rare = reduce(lambda v, pair: F.replace(v, F.lit(pair[0]), F.lit(pair[1])), long.items(), value)
+    return F.when(value.rlike("[" + "".join(long) + "]"), rare).otherwise(value)
 
 
 # Honorifics and company endings that are no part of a name.
@@ -138,7 +159,7 @@ def entity_key(surface: Column, kind: Column) -> Column:
     no honorifics, and for organisations no company ending."""
     value = F.regexp_replace(surface, EDGES, "")
     value = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
-    value = F.replace(strip_accents(F.lower(value)), F.lit("ß"), F.lit("ss"))
+    value = casefold(strip_accents(value))
     value = F.trim(F.regexp_replace(value, HONORIFIC, ""))
     return F.when(kind == "ORG", F.trim(F.regexp_replace(value, COMPANY, ""))).otherwise(value)
 

@@ -18,19 +18,26 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out over all cores if it is read from fewer files than there are cores; else as it is.
 
-    A file of one row group is read by one task, however large it is.  With many files this adds no shuffle.
+    A file of one row group is read by one task, however large it is.  With many
+    files this adds no shuffle.  Files are counted in the JVM; no path comes here.
     """
-    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df._jdf.inputFiles())
     return df.repartition(4 * cores) if 0 < files < cores else df
 
 
+def row_units(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``u``: the lines of the row's text that are not blank (unit_seq, text, context)."""
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("unit_seq"), x.alias("text")))
+    rows = rows.withColumn("__u__", once(F.filter(lines, lambda u: u["text"].rlike(r"(?U)\S"))))
+    before = lambda i: F.coalesce(F.substring(F.get("__u__", i - 1)["text"], 1, CONTEXT_CARRY), F.lit(""))
+    units = F.transform("__u__", lambda u, i: F.struct(u["unit_seq"].alias("unit_seq"), u["text"].alias("text"), before(i).alias("context")))
+    return rows.withColumn("u", once(units)).drop("__u__")
+
+
 def document_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``with_previous(split_lines(docs))``, but within each row: no shuffle, and detection stays as parallel as the scan."""
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("unit_seq"), x.alias("text")))
-    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), once(F.filter(lines, lambda u: u["text"].rlike(r"(?U)\S"))).alias("u"))
-    before = lambda i: F.coalesce(F.substring(F.get("u", i - 1)["text"], 1, CONTEXT_CARRY), F.lit(""))
-    each = F.explode(F.transform("u", lambda u, i: F.struct(u["unit_seq"].alias("unit_seq"), u["text"].alias("text"), before(i).alias("context"))))
-    return rows.select("doc_id", each.alias("e")).select("doc_id", "e.unit_seq", "e.text", "e.context")
+    rows = row_units(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return rows.select("doc_id", F.explode("u").alias("e")).select("doc_id", "e.unit_seq", "e.text", "e.context")
 
 
 def with_previous(units: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.document_units(_table(spark, sf_dir, "documents"))
+    return units.document_units(units.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def units_with_context(spark, sf_dir):
@@ -128,7 +128,7 @@ def entity_first_seen(spark, sf_dir):
 
 
 def anonymize_documents(spark, sf_dir):
-    return anonymize_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), Anonymizer("balanced", "en"))
+    return anonymize_texts(units.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), Anonymizer("balanced", "en"))
 
 
 def anonymize_conversations(spark, sf_dir):
