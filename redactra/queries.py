@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from .catalog import BALANCED, FULL, RULES, level_of
+from . import oracle
+from .catalog import BALANCED, FULL, LABELS, RULES, SOFT, level_of
 from .functions import text as fx
 from .operators import language, registry, spans, splice, structure, tabular, units
 from .plans.anonymize import Anonymizer, anonymize_texts
@@ -133,7 +134,7 @@ def anonymize_documents(spark, sf_dir):
 
 def anonymize_conversations(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("unit_seq"), "text")
-    return Anonymizer("balanced", "en").transform(units.with_previous(rows)).select("doc_id", "unit_seq", "redacted", "replaced")
+    return Anonymizer("balanced", "en").transform(units.with_previous(rows)).select("doc_id", F.col("unit_seq").cast("long").alias("unit_seq"), "redacted", F.col("replaced").cast("long").alias("replaced"))
 
 
 def job_stats(spark, sf_dir):
@@ -148,23 +149,89 @@ def idempotent_rerun(spark, sf_dir):
     return once.join(again, "doc_id").agg(F.count_if(F.col("text") != F.col("redacted")).alias("changed"))
 
 
+_SHAPES = [
+    "password: hunter%d2, api_key = abcdef%d0123456789xyz", "bearer sk_live_abcdefgh%d12345678 AKIA%dABCDEFGHIJKLMNOP", "user: ana%d login=bob.%d", "SIN-2025-%d and 2024-ABC-%d",
+    "Contract N. VD-2019-%d / invoice # FA-%d77", "Paid $ 2.850.%d or 1.500 euros, %d EUR", "born 12/03/19%d", "calle Mayor %d, piso 3", "/etc/app/%d.conf and C:\\data\\%d srv-db%d.local",
+    "call +34 612 345 678 or phone 612345678 %d", "12.345.678-5 RUT 12345678-5 %d", "diagnóstico J45.%d 1234 BCD", "database: prod_%d", "www.example%d.com https://x%d.org/a?b=%d",
+]
+
+#: Texts and contexts for each rule: what it takes, and what lacks its context, its check digit or a piece of its shape.
+_RULE_CASES = [
+    ("[NAME_%d] and (CP_1) not [name_1]", ""), ("RUT 12.345.678-5 or 12.345.%d-K", ""), ("id 12345678-5 and 1234%d-K", "the RUT is"), ("id 12345678-5", "none"), ("12345678Z, 12345678 - A, 00000%dT", ""),
+    ("X1234567L Y0000%dZ X-1234567-A", ""), ("A58818501 A58818502 B 1234%d 5", ""), ("passport AAA123%d", ""), ("AAA123%d", "no pass"), ("NUSS 28-123%d456", ""), ("28-123%d456", ""), ("ssn? 123-45-6%d and 123-4-6789", ""),
+    ("ES91 2100 0418 4502 0005 1332 ES92 2100 0418 4502 0005 1332", ""), ("card 4111 1111 1111 1111 then 4539578763621486 4111111111111%d", ""), ("Password : 'p%dxyz', clave=abc", ""), ("api-key abc.def_%d-0123456789 x", ""),
+    ("sk_test_abcdefghijklm%d pk_live_short", ""), ("AKIA%dABCDEFGHIJKLM AKIAshort", ""), ("ghp_abcdefghijklmnopq%d ghx_abcdefghijklmnopqrst", ""), ("eyJhbGciOi.eyJzdWIiOi%d.SflKxwRJSM eyJ.a.b", ""), ("Usuario: \"ana.%d\" login = x", ""),
+    ("a.b+c%d@mail.example.org @x.org a@b", ""), ("see http://x.org/a_%d?b=(c) or https://y.io", ""), ("WWW.Example-%d.com/path www.x", ""), ("+56 9 1234 5%d and 0056912345%d", ""), ("+34 612.345.%d or 712 345%d", ""), ("llamar al 612345%d", ""),
+    ("612345%d", "nothing here"), ("+1 415-555-2%d and +44 20 7946 0%d", ""), ("10.0.0.%d 10.0.0.12:8080 256.1.1.1", ""), ("on \\\\host%d\\share\\x", ""), ("D:\\data\\f%d.txt", ""), ("/var/log/%d.log x/etc/no //etc/no", ""), ("nas-%d.local db.internal x.com", ""),
+    ("srv-app%d host", ""), ("schema: sales_%d", ""), ("Contrato n. AB-%d/X", ""), ("Factura #F-%d12 boleta x", ""), ("ABC-2024-X%d9 ABC-24-X", ""), ("2024-ABC-%dZ", ""), ("n° cliente: AB%d-1", ""), ("US$ 1.%d,50 M or $99 and x$5", ""),
+    ("pay 1.%d euros, 25,50 USD 1234 EUR", ""), ("12/03/1%d", "date of birth"), ("12-3-%d", "no"), ("12 de marzo de 1%d", "nacido"), ("5/6/2%d", ""), ("avda. Larga del Sol 1%d, oficina 3", ""), ("28%d", "codigo postal"), ("zip 28%d and 28%d", ""),
+    ("morbilidad J45.%d and K%d", ""), ("J45.1", "none"), ("1%d BCD and 1234 AEI", ""),
+]
+
+
+def _shape_texts(spark, sf_dir, cases):
+    """One of the cases for each customer, with the key's last three digits put in: doc_id, unit_seq, text, context."""
+    k = F.col("k")
+    which = (k % len(cases)).cast("int")
+    put = lambda column: F.replace(F.get(F.array(*map(F.lit, column)), which), F.lit("%d"), F.lpad((k % 1000).cast("string"), 3, "0"))
+    texts, contexts = zip(*cases, strict=True)
+    return _keys(spark, sf_dir).select(k.alias("doc_id"), F.lit(0).cast("long").alias("unit_seq"), put(texts).alias("text"), put(contexts).alias("context"))
+
+
+def _shape_sql(cases):
+    put = lambda column: "replace(CASE k % " + str(len(cases)) + " " + " ".join(f"WHEN {i} THEN {oracle.quoted(x)}" for i, x in enumerate(column)) + " END, '%d', lpad(CAST(k % 1000 AS VARCHAR), 3, '0'))"
+    texts, contexts = zip(*cases, strict=True)
+    return f"units AS (SELECT k AS doc_id, CAST(0 AS BIGINT) AS unit_seq, {put(texts)} AS text, {put(contexts)} AS context FROM ({_CUSTOMER_KEYS}))"
+
+
+def _long(*names):
+    return [F.col(f"s.{n}").cast("long").alias(n) for n in names]
+
+
 def _shape_query(kinds):
     def query(spark, sf_dir):
-        k = F.col("k")
-        templates = [
-            "password: hunter%d2, api_key = abcdef%d0123456789xyz", "bearer sk_live_abcdefgh%d12345678 AKIA%dABCDEFGHIJKLMNOP", "user: ana%d login=bob.%d", "SIN-2025-%d and 2024-ABC-%d",
-            "Contract N. VD-2019-%d / invoice # FA-%d77", "Paid $ 2.850.%d or 1.500 euros, %d EUR", "born 12/03/19%d", "calle Mayor %d, piso 3", "/etc/app/%d.conf and C:\\data\\%d srv-db%d.local",
-            "call +34 612 345 678 or phone 612345678 %d", "12.345.678-5 RUT 12345678-5 %d", "diagnóstico J45.%d 1234 BCD", "database: prod_%d", "www.example%d.com https://x%d.org/a?b=%d",
-        ]
-        rows = _keys(spark, sf_dir).withColumn("which", (k % len(templates)).cast("int"))
-        text = F.replace(F.element_at(F.array(*map(F.lit, templates)), F.col("which") + 1), F.lit("%d"), F.lpad((k % 1000).cast("string"), 3, "0"))
-        rows = rows.select(k.alias("doc_id"), F.lit(0).alias("unit_seq"), text.alias("text"), F.lit("").alias("context"))
+        rows = _shape_texts(spark, sf_dir, [(t, "") for t in _SHAPES])
         found = Anonymizer("full", "en").spans(rows).select("doc_id", F.explode("spans").alias("s")).where(F.col("s.kind").isin(kinds))
-        return found.select("doc_id", "s.start", "s.end", "s.kind", "s.text", "s.priority")
+        return found.select("doc_id", *_long("start", "end", "priority"), "s.kind", "s.text")
 
     return query
 
 
+def rule_matches(spark, sf_dir):
+    """Every rule of the catalogue over its cases, before overlaps are resolved."""
+    rows = _shape_texts(spark, sf_dir, _RULE_CASES)
+    found = rows.select("doc_id", F.explode(spans.detect(fx.guarded(F.col("text")), F.col("context"), FULL)).alias("s"))
+    return found.select("doc_id", *_long("rule", "start", "end", "priority"), "s.kind", "s.text")
+
+
+def rule_cases_redacted(spark, sf_dir):
+    """The cases of all rules, redacted at the full level."""
+    rows = _shape_texts(spark, sf_dir, _RULE_CASES)
+    return Anonymizer("full", "es").transform(rows).select("doc_id", "redacted", F.col("replaced").cast("long").alias("replaced"))
+
+
+_CONTEXT_RULES = ["PHONE", "POSTAL_CODE", "BIRTHDATE", "PASSPORT", "SSN"]
+_GATED = [(t, c) for t in ("612345%d", "28%d1", "12/03/1%d", "AAA123%d", "28-123%d456") for c in ("", "telefono", "codigo postal", "fecha nac", "passport", "seguridad social")]
+
+
+def context_gate(spark, sf_dir):
+    """Rules that need a word near the value: with the word in the context beside it, and without."""
+    rules = [(k, r) for k, r in enumerate(RULES) if r.kind in _CONTEXT_RULES and r.context]
+    rows = _shape_texts(spark, sf_dir, _GATED)
+    found = rows.select("doc_id", F.explode(spans.detect(fx.guarded(F.col("text")), F.col("context"), FULL, rules)).alias("s"))
+    return found.select("doc_id", *_long("rule", "start", "end"), "s.kind")
+
+
+def ctx_prev_row(spark, sf_dir):
+    """Values whose word stands in the unit before: keys in order, a word in every third."""
+    k = F.col("k")
+    text = F.when(k % 3 == 0, "telefono de contacto").when(k % 3 == 1, F.concat(F.lit("612345"), F.lpad((k % 1000).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("712345"), F.lpad((k % 1000).cast("string"), 3, "0")))
+    rows = units.with_previous(_keys(spark, sf_dir).select(F.floor(k / 30).alias("doc_id"), k.alias("unit_seq"), text.alias("text")))
+    rules = [(n, r) for n, r in enumerate(RULES) if r.context == "phone"]
+    found = rows.select("doc_id", "unit_seq", F.explode(spans.detect(fx.guarded(F.col("text")), F.col("context"), FULL, rules)).alias("s"))
+    return found.select("doc_id", "unit_seq", F.col("s.text").alias("value"))
+
+
 def overlap_resolution(spark, sf_dir):
     """Intervals of line items by order, disjoint by quantity, then length, then start."""
     line = _table(spark, sf_dir, "lineitem")
@@ -172,7 +239,7 @@ def overlap_resolution(spark, sf_dir):
     span = F.struct(start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), F.lit("X").alias("kind"), F.lit("x").alias("text"), F.col("l_linenumber").alias("priority"), F.lit("regex").alias("source"), F.lit(0).alias("rule"))
     grouped = line.groupBy("l_orderkey").agg(F.collect_list(span).cast(spans.SPANS).alias("s"))
     kept = grouped.select("l_orderkey", F.explode(spans.resolve_overlaps(F.col("s"))).alias("s"))
-    return kept.select("l_orderkey", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.priority").alias("priority"))
+    return kept.select("l_orderkey", *_long("start", "end", "priority"))
 
 
 def splice_segments(spark, sf_dir):
@@ -226,18 +293,22 @@ def structure_cells(spark, sf_dir):
     return out.select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "label")
 
 
+#: Tags inside a block, which go, and a block up to the next tag.
+_INLINE = r"</?(?:a|b|br|em|i|span|strong|u)(?:\s[^>]*)?/?>"
+_ELEMENT = r"<(h1|p|li|header|footer)(?:\s[^>]*)?>([^<]*)"
+
+
 def structure_html(spark, sf_dir):
     """Pages' headings, paragraphs, items, header and footer as document elements."""
     pages = _table(spark, sf_dir, "pages")
-    pattern = "(?s)<(h1|p|li|header|footer)>([^<]+)"
-    whole = F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    whole = F.regexp_extract_all(F.regexp_replace("html", _INLINE, ""), F.lit(_ELEMENT), F.lit(0))
     rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(whole).alias("seq", "e"))
-    tag, text = F.regexp_extract("e", pattern, 1), F.regexp_extract("e", pattern, 2)
+    tag, text = F.regexp_extract("e", _ELEMENT, 1), F.regexp_extract("e", _ELEMENT, 2)
     elements = rows.select(
         "doc_id", "seq", F.when(tag.isin("header", "footer"), tag).otherwise("body").alias("part"), F.when(tag == "h1", "Heading1").when(tag == "li", "ListParagraph").otherwise("Normal").alias("style"),
         F.lit(False).alias("has_num"), F.lit(None).cast("int").alias("table_row"), F.lit(None).cast("int").alias("table_col"), text.alias("text"),
     )
-    return structure.word_labels(elements, "en").select("doc_id", "seq", "label")
+    return structure.word_labels(elements, "en").select("doc_id", F.col("seq").cast("long").alias("seq"), "label")
 
 
 def noise_filter(spark, sf_dir):
@@ -262,11 +333,44 @@ def alias_registry(spark, sf_dir):
     return Anonymizer("balanced", "en", found).transform(rows).select("doc_id", "unit_seq", "redacted", "replaced")
 
 
+def _sights(spark, sf_dir):
+    """Each person of :func:`_people` as a place where it was seen."""
+    return _people(spark, sf_dir).select("doc_id", "unit_seq", F.lit(0).alias("start"), F.lit("PERSON").alias("kind"), F.col("surface").alias("text"))
+
+
 def token_owners(spark, sf_dir):
     """Name tokens of five letters and more that one person key of a document owns."""
-    keys = _people(spark, sf_dir).select("doc_id", fx.entity_key(F.col("surface"), F.lit("PERSON")).alias("key")).distinct()
-    tokens = keys.select("doc_id", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("token")).where(F.length("token") >= 5)
-    return tokens.groupBy("doc_id", "token").agg(F.count_distinct("key").alias("owners")).where("owners = 1").select("doc_id", "token")
+    people = _sights(spark, sf_dir).select("doc_id", fx.entity_key(F.col("text"), F.col("kind")).alias("person"))
+    return registry.token_owners(people)
+
+
+def gazetteer_topk(spark, sf_dir):
+    """The three longest known names of each document, the first seen first among equals."""
+    return registry.longest(registry.known_names(_sights(spark, sf_dir)), 3, "first").select("doc_id", "term", F.col("place").cast("long").alias("place"))
+
+
+def gazetteer_scan(spark, sf_dir):
+    """Known names and surnames of a document, found in units that spell them otherwise."""
+    people = _people(spark, sf_dir)
+    keys = _sights(spark, sf_dir).select("doc_id", fx.entity_key(F.col("text"), F.col("kind")).alias("person"))
+    known = registry.gazetteer(_sights(spark, sf_dir), keys).withColumnRenamed("doc_id", "d")
+    text = F.concat(F.upper("surface"), F.lit(", x"), F.col("last"), F.lit(" and "), F.col("last"), F.lit("."))
+    rows = people.select("doc_id", "unit_seq", text.alias("text")).join(known, F.col("doc_id") == F.col("d"))
+    found = rows.select("doc_id", "unit_seq", F.explode(registry.gazetteer_spans(F.col("text"), F.col("names"), F.col("kinds"), F.col("surnames"))).alias("s"))
+    return found.select("doc_id", F.col("unit_seq").cast("long").alias("unit_seq"), *_long("start", "end"), "s.kind", "s.text")
+
+
+def kind_counts(spark, sf_dir):
+    """Distinct entities of each kind in each document."""
+    found = Anonymizer("balanced", "en").replacements(_units(spark, sf_dir)).where("n is not null")
+    return found.groupBy("doc_id", "kind").agg(F.max("n").cast("long").alias("n"))
+
+
+def labels_in_order(spark, sf_dir):
+    """Each document's markers in the order of first sight."""
+    found = Anonymizer("balanced", "es").replacements(_units(spark, sf_dir))
+    first = found.groupBy("doc_id", "marker").agg(F.min(F.struct("unit_seq", "start")).alias("at"))
+    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "marker"))), lambda x: x["marker"]), ",").alias("labels"))
 
 
 QUERIES = {
@@ -274,12 +378,14 @@ QUERIES = {
     for f in (
         units_with_context, units_distinct, detect_email, detect_ip, detect_card, detect_url, spans_by_kind_level, valid_dni, valid_nie, valid_rut, valid_cif, valid_iban, valid_luhn, detect_lang, entity_first_seen,
         anonymize_documents, anonymize_conversations, job_stats, idempotent_rerun, overlap_resolution, splice_segments, sheet_name_safe, line_padding, tabular_numeric_mask, header_row, structure_cells, structure_html,
-        noise_filter, alias_registry, token_owners,
+        noise_filter, alias_registry, token_owners, rule_matches, rule_cases_redacted, context_gate, ctx_prev_row, gazetteer_topk, gazetteer_scan, kind_counts, labels_in_order,
     )
-} | {
-    "secrets_rules": _shape_query(["CREDENTIAL", "API_KEY", "TOKEN", "USERNAME"]), "reference_rules": _shape_query(["REFERENCE", "CONTRACT", "INVOICE", "HEALTH_CODE", "PLATE", "NATIONAL_ID"]),
-    "amount_date_rules": _shape_query(["AMOUNT", "BIRTHDATE", "PHONE"]), "address_path_host_rules": _shape_query(["ADDRESS", "PATH", "HOSTNAME", "DATABASE", "URL", "POSTAL_CODE"]),
+}
+_FAMILIES = {
+    "secrets_rules": ["CREDENTIAL", "API_KEY", "TOKEN", "USERNAME"], "reference_rules": ["REFERENCE", "CONTRACT", "INVOICE", "HEALTH_CODE", "PLATE", "NATIONAL_ID"],
+    "amount_date_rules": ["AMOUNT", "BIRTHDATE", "PHONE"], "address_path_host_rules": ["ADDRESS", "PATH", "HOSTNAME", "DATABASE", "URL", "POSTAL_CODE"],
 }
+QUERIES |= {name: _shape_query(kinds) for name, kinds in _FAMILIES.items()}
 
 _LINES = """lines AS (
   SELECT doc_id, i - 1 AS unit_seq, parts[i] AS text
@@ -344,3 +450,79 @@ FROM cells, (SELECT unnest([1, 2, 3, 4]) AS c)
 UNION ALL SELECT DISTINCT o_custkey, CAST(1 AS BIGINT), CAST(c AS BIGINT), '[HEADER COL-' || c || ']' FROM orders, (SELECT unnest([1, 2, 3, 4]) AS c)""",
     "idempotent_rerun": "SELECT CAST(0 AS BIGINT) AS changed",
 }
+
+
+_BALANCED = oracle.rules_of(level=BALANCED)
+_PEOPLE = f"""people AS (SELECT k // 6 AS doc_id, k % 6 AS unit_seq, last, CASE k % 3 WHEN 0 THEN first || ' Maria ' || last WHEN 1 THEN first || ' ' || last ELSE 'Dr. ' || first || ' ' || last END AS surface
+  FROM (SELECT k, 'Ana' || substr('bcdfghjklm', CAST(k % 10 AS INT) + 1, 1) AS first, 'Correa' || substr('bcdfghjklmn', CAST(k % 11 AS INT) + 1, 1) AS last FROM ({_CUSTOMER_KEYS}))),
+terms AS (SELECT doc_id, surface AS term, min(unit_seq) AS first FROM people GROUP BY doc_id, surface)"""
+_OWNED = f"""tokens AS (SELECT DISTINCT doc_id, key, unnest(string_split(key, ' ')) AS token FROM (SELECT doc_id, {oracle.key("surface")} AS key FROM people)),
+owned AS (SELECT doc_id, token FROM tokens WHERE length(token) >= 5 GROUP BY doc_id, token HAVING count(DISTINCT key) = 1)"""
+_PLAIN_HTML = f"regexp_replace(html, {oracle.quoted(_INLINE)}, '', 'g')"
+
+
+def _redaction(units_sql):
+    return f"WITH RECURSIVE {units_sql}, {oracle.raw(_BALANCED)}, {oracle.chosen()}, {oracle.numbered()}"
+
+
+def _levels():
+    parts = []
+    for name, rank in (("soft", SOFT), ("balanced", BALANCED), ("full", FULL)):
+        parts.append((name, f"raw_{name} AS (SELECT * FROM raw WHERE lvl <= {rank}), {oracle.chosen(f'raw_{name}', f'spans_{name}')}"))
+    counts = " UNION ALL ".join(f"SELECT kind, count(*) AS n, '{name}' AS level FROM spans_{name} GROUP BY kind" for name, _ in parts)
+    return f"WITH RECURSIVE {oracle.lines()}, {oracle.raw(oracle.rules_of())}, {', '.join(p for _, p in parts)} {counts}"
+
+
+_VOTE = f"""voted AS (SELECT doc_id, CASE WHEN n < 20 OR es + en = 0 THEN 'en' WHEN es >= en * 1.15 THEN 'es' WHEN en > es * 1.15 THEN 'en' ELSE 'en' END AS lang FROM (
+  SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: list_contains({language.STOP_ES}, x))) AS es, len(list_filter(w, lambda x: list_contains({language.STOP_EN}, x))) AS en
+  FROM (SELECT doc_id, regexp_extract_all(lower(substr(string_agg(text, ' ' ORDER BY unit_seq), 1, 20000)), '[a-záéíóúüñ]+') AS w FROM units GROUP BY doc_id)))"""
+_WORDS = "list_filter(regexp_split_to_array(lower(strip_accents(trim(surface))), '[^0-9a-z_]+'), lambda w: length(w) > 1 AND NOT list_contains({particles}, w))".format(particles=language.NOISE_PARTICLES)
+
+ORACLES |= {
+    "spans_by_kind_level": _levels(),
+    "anonymize_documents": f"""{_redaction(oracle.lines())}, {oracle.REDACTED}
+SELECT d.doc_id, w.redacted FROM documents d LEFT JOIN (
+  SELECT l.doc_id, string_agg(coalesce(r.redacted, l.text), chr(10) ORDER BY l.unit_seq) AS redacted
+  FROM lines l LEFT JOIN redacted r ON l.doc_id = r.doc_id AND l.unit_seq = r.unit_seq GROUP BY l.doc_id) w ON d.doc_id = w.doc_id""",
+    "anonymize_conversations": f"""{_redaction("units AS (SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS unit_seq, text, coalesce(lag(substr(text, 1, 90)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context FROM conversations)")}, {oracle.REDACTED}
+SELECT u.doc_id, u.unit_seq, coalesce(r.redacted, u.text) AS redacted, coalesce(r.replaced, 0) AS replaced FROM units u LEFT JOIN redacted r ON u.doc_id = r.doc_id AND u.unit_seq = r.unit_seq""",
+    "entity_first_seen": f"""WITH RECURSIVE {oracle.lines()}, {oracle.raw(oracle.rules_of(["EMAIL", "IP"]))}, {oracle.numbered("raw")}
+SELECT DISTINCT doc_id, kind, key, n, marker FROM numbered""",
+    "job_stats": f"""{_redaction(oracle.lines())}, {_VOTE},
+each AS (SELECT n.doc_id, n.kind, n.marker, min({{'u': n.unit_seq, 's': n.s}}) AS place, count(*) AS times, count(DISTINCT {{'t': u.text, 'c': u.context, 's': n.s}}) AS own
+  FROM numbered n JOIN units u ON n.doc_id = u.doc_id AND n.unit_seq = u.unit_seq GROUP BY n.doc_id, n.kind, n.marker),
+kinds AS (SELECT doc_id, '{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}}' AS by_kind FROM (SELECT doc_id, kind, count(*) AS n FROM each GROUP BY doc_id, kind) GROUP BY doc_id),
+totals AS (SELECT doc_id, CAST(sum(times) AS BIGINT) AS total_occurrences, CAST(sum(own) AS BIGINT) AS total_distinct, string_agg(marker, ',' ORDER BY place) AS labels FROM each GROUP BY doc_id)
+SELECT v.doc_id, coalesce(t.total_occurrences, 0) AS total_occurrences, coalesce(t.total_distinct, 0) AS total_distinct, t.labels, k.by_kind, 'regex-only' AS engine, v.lang AS doc_lang, 'balanced' AS level,
+  '[{{"code":"recogniser_missing"}}]' AS warnings FROM voted v LEFT JOIN totals t ON v.doc_id = t.doc_id LEFT JOIN kinds k ON v.doc_id = k.doc_id""",
+    "kind_counts": f"{_redaction(oracle.lines())} SELECT doc_id, kind, count(DISTINCT key) AS n FROM numbered GROUP BY doc_id, kind",
+    "labels_in_order": f"""WITH RECURSIVE {oracle.lines()}, {oracle.raw(_BALANCED)}, {oracle.chosen()}, {oracle.numbered().replace(oracle.marker("kind", "n"), oracle.marker("kind", "n", "es"))}
+SELECT doc_id, string_agg(marker, ',' ORDER BY place) AS labels FROM (SELECT doc_id, marker, min({{'u': unit_seq, 's': s}}) AS place FROM numbered GROUP BY doc_id, marker) GROUP BY doc_id""",
+    "rule_matches": f"WITH {_shape_sql(_RULE_CASES)}, {oracle.raw(oracle.rules_of())} SELECT doc_id, CAST(rule AS BIGINT) AS rule, s AS start, e AS end, CAST(priority AS BIGINT) AS priority, kind, value AS text FROM raw",
+    "rule_cases_redacted": f"""WITH RECURSIVE {_shape_sql(_RULE_CASES)}, {oracle.raw(oracle.rules_of())}, {oracle.chosen()}, {oracle.numbered().replace(oracle.marker("kind", "n"), oracle.marker("kind", "n", "es"))}, {oracle.REDACTED}
+SELECT u.doc_id, coalesce(r.redacted, u.text) AS redacted, coalesce(r.replaced, 0) AS replaced FROM units u LEFT JOIN redacted r ON u.doc_id = r.doc_id""",
+    "context_gate": f"WITH {_shape_sql(_GATED)}, {oracle.raw([(k, r) for k, r in oracle.rules_of(_CONTEXT_RULES) if r.context])} SELECT doc_id, CAST(rule AS BIGINT) AS rule, s AS start, e AS end, kind FROM raw",
+    "ctx_prev_row": f"""WITH v AS (SELECT k, k // 30 AS doc_id, CASE k % 3 WHEN 0 THEN 'telefono de contacto' WHEN 1 THEN '612345' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') ELSE '712345' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') END AS text FROM ({_CUSTOMER_KEYS})),
+p AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM v)
+SELECT doc_id, k AS unit_seq, text AS value FROM p WHERE k % 3 <> 0 AND before = 'telefono de contacto'""",
+    "overlap_resolution": f"""WITH RECURSIVE raw AS (SELECT l_orderkey, l_partkey % 97 AS s, l_partkey % 97 + CAST(l_quantity AS BIGINT) AS e, 'X' AS kind, 'x' AS value, CAST(l_linenumber AS BIGINT) AS priority, 0 AS rule FROM lineitem), {oracle.chosen(partition="l_orderkey")}
+SELECT l_orderkey, s AS start, e AS end, priority FROM spans""",
+    "structure_html": f"""WITH found AS (SELECT page_id AS doc_id, unnest(regexp_extract_all({_PLAIN_HTML}, {oracle.quoted(_ELEMENT)})) AS e, generate_subscripts(regexp_extract_all({_PLAIN_HTML}, {oracle.quoted(_ELEMENT)}), 1) - 1 AS seq FROM pages),
+parts AS (SELECT doc_id, seq, regexp_extract(e, {oracle.quoted(_ELEMENT)}, 1) AS tag, regexp_extract(e, {oracle.quoted(_ELEMENT)}, 2) AS text FROM found),
+n AS (SELECT doc_id, seq, tag, row_number() OVER (PARTITION BY doc_id, tag ORDER BY seq) AS n FROM parts WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]'))
+SELECT doc_id, seq, CASE WHEN tag = 'header' THEN '{LABELS["header"][1]}' WHEN tag = 'footer' THEN '{LABELS["footer"][1]}' WHEN tag = 'h1' AND n = 1 THEN '{LABELS["doc_title"][1]}'
+  WHEN tag = 'h1' THEN replace('{LABELS["section_title"][1]}', '{{n}}', CAST(n - 1 AS VARCHAR)) WHEN tag = 'li' THEN replace('{LABELS["list_item"][1]}', '{{n}}', CAST(n AS VARCHAR)) ELSE replace('{LABELS["paragraph"][1]}', '{{n}}', CAST(n AS VARCHAR)) END AS label FROM n""",
+    "noise_filter": f"""WITH p AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS surface FROM part), w AS (SELECT *, {_WORDS} AS w FROM p)
+SELECT p_partkey, NOT regexp_matches(surface, '\\p{{L}}') OR regexp_matches(surface, '^\\P{{L}}*\\p{{Ll}}') OR len(w) = 0 OR (len(w) = 1 AND surface = upper(surface)) OR len(list_filter(w, lambda x: NOT list_contains({language.generic_words()}, x))) = 0 AS noise FROM w""",
+    "token_owners": f"WITH {_PEOPLE}, {_OWNED} SELECT doc_id, token FROM owned",
+    "gazetteer_topk": f"WITH {_PEOPLE} SELECT doc_id, term, place FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, first, term) AS place FROM terms) WHERE place <= 3",
+    "gazetteer_scan": f"""WITH {_PEOPLE}, {_OWNED}, u AS (SELECT doc_id, unit_seq, last, upper(surface) || ', x' || last || ' and ' || last || '.' AS text FROM people),
+hits AS (SELECT u.doc_id, unit_seq, strpos(lower(text), lower(term)) - 1 AS start, length(term) AS n FROM u JOIN terms t ON u.doc_id = t.doc_id AND starts_with(text, upper(term) || ',')
+  UNION ALL SELECT u.doc_id, unit_seq, strpos(text, 'Dr. ') + 3, length(term) FROM u JOIN terms t ON u.doc_id = t.doc_id AND starts_with(text, 'DR. ' || upper(term) || ',') AND NOT starts_with(text, upper(term)) AND NOT EXISTS (SELECT 1 FROM terms x WHERE x.doc_id = u.doc_id AND starts_with(text, upper(x.term) || ','))
+  UNION ALL SELECT u.doc_id, unit_seq, length(text) - 1 - length(last), length(last) FROM u JOIN owned o ON u.doc_id = o.doc_id AND lower(last) = o.token)
+SELECT h.doc_id, h.unit_seq, CAST(h.start AS BIGINT) AS start, CAST(h.start + h.n AS BIGINT) AS end, 'PERSON' AS kind, substr(u.text, CAST(h.start AS BIGINT) + 1, CAST(h.n AS BIGINT)) AS text
+FROM hits h JOIN u ON h.doc_id = u.doc_id AND h.unit_seq = u.unit_seq""",
+} | {
+    name: f"WITH RECURSIVE {_shape_sql([(t, '') for t in _SHAPES])}, {oracle.raw(oracle.rules_of())}, {oracle.chosen()} SELECT doc_id, s AS start, e AS end, CAST(priority AS BIGINT) AS priority, kind, value AS text FROM spans WHERE kind IN ({', '.join(map(oracle.quoted, kinds))})"
+    for name, kinds in _FAMILIES.items()
+}

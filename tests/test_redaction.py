@@ -218,3 +218,18 @@ def test_matches_without_digit_pass_the_gate(spark):
     units = spark.createDataFrame([(str(k), 0, t, "") for k, (t, _) in enumerate(cases)], UNIT)
     out = {r[0]: r[1] for r in Anonymizer("full", "en").transform(units).select("doc_id", "redacted").collect()}
     assert out == {str(k): want for k, (_, want) in enumerate(cases)}
+
+
+def test_cases_show_every_rule_and_pass_the_gate(spark):
+    """In an engine without the gate each of the rules takes something from its cases; all of it passes the gate."""
+    import duckdb
+
+    from redactra import catalog, oracle, queries
+    from redactra.operators.spans import _GATE
+
+    base = duckdb.connect()
+    base.execute("CREATE TABLE customer AS SELECT i AS c_custkey FROM range(1, 1500) t(i)")
+    rows = base.execute(queries.ORACLES["rule_matches"]).fetchall()
+    assert {r[1] for r in rows} == set(range(len(catalog.RULES)))
+    texts = {r[0] for r in base.execute(f"WITH {queries._shape_sql(queries._RULE_CASES)}, {oracle.raw(oracle.rules_of())} SELECT text FROM near").fetchall()}
+    assert spark.createDataFrame([(t,) for t in texts], "t string").where(~F.col("t").rlike(_GATE)).count() == 0
