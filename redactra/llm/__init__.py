@@ -7,8 +7,8 @@ queries that apply the operators to the bundled tables are in
 
 Conventions shared by all of them:
 
-* input columns are named by parameters; every other column is ignored, so
-  columns that clash with internal or result names do no harm;
+* input columns are named by parameters; every other column is ignored or
+  passed on, and a column named like one of the result gives way to it;
 * a null text counts as the empty text, a null id is an id like any other
   (it sorts first), repeated rows are separate rows;
 * an empty table gives an empty result with the documented schema.

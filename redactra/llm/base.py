@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,17 +31,26 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where that is unset, as in local tests, a folder of our own that goes when
-    the process ends.
+    the process ends; on a cluster, where no executor would see it, an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="redactra-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return f"file://{_own_folder[0]}"
 
 
+def clear_tables(spark: SparkSession) -> bool:
+    """Removes the tables that operators left in the shared folder.  Results not yet read are lost with them:
+    call it when a job's output is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/redactra")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/redactra/{what}-{uuid.uuid4().hex}"
 
@@ -61,9 +71,16 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def without(columns: list[str], names: list[str]) -> list[str]:
+    """The columns that a result of these names does not replace."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Before a pass in Python: ship the package, and bound the rows of Arrow batches
-    (Spark's default of 10,000 holds gigabytes of long texts)."""
+    (Spark's default of 10,000 holds gigabytes of long texts).  The bound is a setting of the session, read when the
+    lazy plan runs, and so it stays."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
@@ -82,13 +99,14 @@ def release() -> None:
 def with_columns_of(
     df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], keep: list[str] | None = None
 ) -> DataFrame:
-    """The ``keep`` columns of ``df`` (default: all) and ``fields``, worked out from the texts of ``column``.
+    """The ``keep`` columns of ``df`` (default: all but those named like a field) and ``fields``, worked out from
+    the texts of ``column``.
 
     ``make`` is called once a task and returns a function from a list of texts
     (nulls as empty texts) to a list of Arrow arrays, one for each field.
     """
     small_batches(df.sparkSession)
-    keep = df.columns if keep is None else keep
+    keep = without(df.columns, [f.name for f in fields]) if keep is None else keep
     # the text rides along last under a name of its own, and is dropped unless kept
     source = df.select(*[named(c) for c in keep], F.coalesce(named(column).cast("string"), F.lit("")).alias("__text__"))
     schema = T.StructType([*source.schema.fields[:-1], *fields])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,19 +28,21 @@ from .tokenization import encoder
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids in a frame: what a reader must decompress for one document.
 FRAME_IDS = 1 << 17
+#: Bytes of input (as the planner estimates them, files as they are stored) that a shard should hold.
+SHARD_BYTES = 256 << 20
 LEVEL = 1
 
 
 class ShardWriter:
-    """Writes one shard; memory holds one frame and the index (12 bytes a document)."""
+    """Writes one shard; memory holds one frame and the index (13 bytes a document)."""
 
     def __init__(self, out, dtype: str = "<u2", frame_ids: int = FRAME_IDS) -> None:
         self.out, self.dtype, self.frame_ids = out, np.dtype(dtype), frame_ids
         self.pack = zstandard.ZstdCompressor(level=LEVEL)
         self.frames: list[tuple[int, int, int]] = []
         self.buffer, self.held = [], 0
-        self.ids: list[int | None] = []
-        self.sizes: list[int] = []
+        self.keys, self.null, self.sizes = array("q"), bytearray(), array("I")
+        self.limit = np.iinfo(self.dtype).max
 
     def _flush(self) -> None:
         data = b"".join(self.buffer)
@@ -50,7 +53,10 @@ class ShardWriter:
         self.buffer, self.held = [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
+        if len(ids) and int(ids.max()) > self.limit:
+            raise ValueError(f"id {int(ids.max())} does not fit {self.dtype}")
+        self.keys.append(0 if doc_id is None else doc_id)
+        self.null.append(doc_id is None)
         self.sizes.append(len(ids))
         data = ids.astype(self.dtype)
         while len(data):
@@ -63,9 +69,8 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush()
-        null = np.array([x is None for x in self.ids], np.uint8)
-        keys = np.array([x or 0 for x in self.ids], "<i8")
-        index = self.pack.compress(struct.pack("<QB", len(keys), self.dtype.itemsize) + keys.tobytes() + null.tobytes() + np.array(self.sizes, "<u4").tobytes())
+        keys, sizes = np.array(self.keys, "<i8"), np.array(self.sizes, "<u4")
+        index = self.pack.compress(struct.pack("<QB", len(keys), self.dtype.itemsize) + keys.tobytes() + bytes(self.null) + sizes.tobytes())
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index) + 4) + index + struct.pack("<I", len(index) + 4))
         table = b"".join(struct.pack("<III", *f) for f in self.frames)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK, len(table) + 9) + table + struct.pack("<IBI", len(self.frames), 0x80, SEEK_END))
@@ -137,7 +142,7 @@ def _files(path: str):
 
 
 def write_shards(
-    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, spaced: bool = True, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text", shards: int | None = None
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, spaced: bool = True, dtype: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, special: bool = False
 ) -> DataFrame:
     """Writes ids of all documents in ascending id order; returns the manifest: shard, path, n_docs, n_tokens.
 
@@ -145,17 +150,22 @@ def write_shards(
     next), sorted within, and each range is a shard, streamed.  A shard is
     written under a name of the attempt and renamed when whole, so a task that
     runs again replaces the same content.  ``folder`` must be shared by all
-    executors.  Null ids come first; null texts count as empty.
+    executors.  Null ids come first; null texts count as empty.  ``dtype``: two
+    bytes an id if the vocabulary allows it, else four.  ``shards``: as many as
+    there are shuffle partitions, or more, so that each holds SHARD_BYTES of
+    input at most.  ``special``: control strings in a text become control ids.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, -(-size // SHARD_BYTES)))
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text")).withColumn("__tie__", F.xxhash64("text"))
     dealt = rows.repartitionByRange(shards, "doc_id", "__tie__").sortWithinPartitions("doc_id", "__tie__").select("doc_id", "text")
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, spaced).encode
+        own = encoder(vocabulary, spaced, special)
+        encode, width = own.encode, dtype or ("<u2" if own.size <= 1 << 16 else "<u4")
         files, root = _files(folder)
         context, writer, n_docs, n_tokens = TaskContext.get(), None, 0, 0
         shard = context.partitionId()
@@ -165,7 +175,7 @@ def write_shards(
             if writer is None and batch.num_rows:
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(trial)
-                writer = ShardWriter(out, dtype)
+                writer = ShardWriter(out, width)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([np.frombuffer(encode(text), "<u4"), end])
                 writer.add(doc_id, ids)
@@ -195,10 +205,11 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 files, own = _files(path)
                 with files.open_input_file(own) as file:
                     reader = ShardReader(file)
-                    crc = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in range(len(reader.doc_ids))]
-                for a in range(0, len(crc), 8192):
-                    z = slice(a, a + 8192)
-                    yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[z], pa.int64()), pa.array(reader.starts[:-1][z] + base, pa.int64()), pa.array(reader.sizes[z], pa.int64()), pa.array(crc[z], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for a in range(0, len(reader.sizes), 8192):
+                        z = slice(a, a + 8192)
+                        crc = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in range(a, min(a + 8192, len(reader.sizes)))]
+                        columns = [reader.doc_ids[z], reader.starts[:-1][z] + base, reader.sizes[z], crc]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return based.repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

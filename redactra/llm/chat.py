@@ -66,28 +66,37 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _doubled(jumps: DataFrame) -> DataFrame:
+    ahead = jumps.select(F.col("node").alias("from"), "to")
+    second = jumps.select("node", F.col("to").alias("mid"))
+    return cut(second.join(ahead, F.col("mid") == F.col("from")).select("node", "to"), "jumps")
+
+
 def reply_paths(messages: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """``leaf``, ``node`` and ``distance`` from the leaf, for each message on the path of each leaf.
 
     A message is a leaf if no message names it as parent, and a root if its
-    parent is null or missing.  Ids must be unique; messages in a cycle belong
-    to no path.
+    parent is null or missing.  Ids must be unique.  Messages in a cycle of
+    parents, and all that hang on one, belong to no path.
     """
     own = messages.select(named(id_col).alias("node"), named(parent_col).alias("parent"))
     there = own.select(F.col("node").alias("there"))
-    jumps = cut(own.join(there, F.col("parent") == F.col("there"), "left_semi").select("node", F.col("parent").alias("to")), "jumps")
-    leaves = own.join(jumps.select(F.col("to")).distinct(), F.col("node") == F.col("to"), "left_anti")
-    paths = cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")), "paths")
-    step, rounds = 1, 0
-    while not jumps.isEmpty():
+    tables = [cut(own.join(there, F.col("parent") == F.col("there"), "left_semi").select("node", F.col("parent").alias("to")), "jumps")]
+    # the k-th table jumps 2^k messages up; it is empty once no path is as long, unless there is a cycle
+    most = max(1, tables[0].count()).bit_length()
+    while len(tables) <= most and not tables[-1].isEmpty():
+        tables.append(_doubled(tables[-1]))
+    lost = None if tables[-1].isEmpty() else tables[-1].select(F.col("node").alias("lost"))
+    leaves = own.join(tables[0].select("to").distinct(), F.col("node") == F.col("to"), "left_anti")
+    if lost is not None:
+        leaves = leaves.join(lost, F.col("node") == F.col("lost"), "left_anti")
+    paths = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
+    for k, jumps in enumerate(tables):
+        if k and lost is None and k == len(tables) - 1:
+            break  # empty
         ahead = jumps.select(F.col("node").alias("from"), "to")
-        further = paths.join(ahead, F.col("node") == F.col("from")).select("leaf", F.col("to").alias("node"), (F.col("distance") + step).alias("distance"))
+        further = paths.join(ahead, F.col("node") == F.col("from")).select("leaf", F.col("to").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
         paths = cut(paths.unionByName(further), "paths")
-        second = jumps.select("node", F.col("to").alias("mid"))
-        jumps = cut(second.join(ahead, F.col("mid") == F.col("from")).select("node", "to"), "jumps")
-        step, rounds = step * 2, rounds + 1
-        if rounds > 40:
-            raise ValueError("parents form a cycle")
     return paths
 
 
@@ -98,20 +107,22 @@ def format_trees(
 
     A tree's branches rank by the sum of their messages' scores (null: 0), then
     length, then the smaller leaf; ``top`` of them are formatted.  Null roles
-    and texts count as empty.  Messages of a path are sorted within its
+    and texts count as empty, a null tree is a tree; an empty table gives an
+    empty result.  Messages of a path are sorted within its
     partition and streamed, so memory holds one conversation at a time.
     """
     small_batches(messages.sparkSession)
     score = F.coalesce(named(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
-    body = messages.select(
-        named(id_col).alias("m"), named(tree_col).alias("tree"), score.alias("score"), F.coalesce(named(role_col), F.lit("")).alias("role"), F.coalesce(named(text_col), F.lit("")).alias("text")
-    )
-    paths = reply_paths(messages, id_col, parent_col)
-    scored = paths.join(body.select("m", "score"), paths["node"] == F.col("m")).groupBy("leaf").agg(F.sum("score").alias("score"), F.count("*").alias("turns"))
-    tree_of = body.select(F.col("m").alias("l"), "tree")
+    # ids, trees and scores are settled once; the texts are joined once, to the paths chosen
+    thin = cut(messages.select(named(id_col).alias("m"), named(parent_col).alias("parent"), named(tree_col).alias("tree"), score.alias("score")), "messages")
+    body = messages.select(named(id_col).alias("m"), F.coalesce(named(role_col), F.lit("")).alias("role"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    paths = reply_paths(thin, "m", "parent")
+    weighed = paths.join(thin.select("m", "score"), F.col("node") == F.col("m")) if score_col else paths.withColumn("score", F.lit(0.0))
+    scored = weighed.groupBy("leaf").agg(F.sum("score").alias("score"), F.count("*").alias("turns"))
+    tree_of = thin.select(F.col("m").alias("l"), "tree")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("turns"), "leaf")
     chosen = scored.join(tree_of, F.col("leaf") == F.col("l")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("tree", "leaf", "rank")
-    lines = paths.join(chosen, "leaf").join(body.select("m", "role", "text"), F.col("node") == F.col("m")).select("tree", "leaf", "rank", "distance", "role", "text")
+    lines = paths.join(chosen, "leaf").join(body, F.col("node") == F.col("m")).select("tree", "leaf", "rank", "distance", "role", "text")
     dealt = lines.repartition(F.col("leaf")).sortWithinPartitions("leaf", F.desc("distance"))
     kinds = dict(lines.dtypes)
     schema = f"tree {kinds['tree']}, leaf {kinds['leaf']}, rank int, n_turns long, formatted string, loss_spans array<array<long>>"

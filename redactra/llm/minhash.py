@@ -115,12 +115,12 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def open_links(distance: np.ndarray, group: np.ndarray, piece: np.ndarray, short: np.ndarray, bands: np.ndarray, key: int, texts: list[str], limit: float) -> list[tuple[int, int]]:
+def open_links(distance: np.ndarray, group: np.ndarray, piece: np.ndarray, short: np.ndarray, bands: np.ndarray, key: int, texts: list[str], limit: float, likely: float = LIKELY) -> list[tuple[int, int]]:
     """Links between the classes of a bucket, one for each far text and class at most.
 
     One of two texts lies farther than ``limit`` from the leader (else both are
     in its class), their distances to it differ by ``limit`` at most, their
-    signatures agree in a share of LIKELY, and this is the first bucket they
+    signatures agree in a share of ``likely``, and this is the first bucket they
     share.  Such pairs are verified, the likeliest first, until a class is found.
     """
     hashes, known, out = WordHashes(), {}, []
@@ -138,7 +138,7 @@ def open_links(distance: np.ndarray, group: np.ndarray, piece: np.ndarray, short
             ok &= piece != piece[u]
         x = np.flatnonzero(ok)
         agree = (short[x] == short[u]).mean(1)
-        x, agree = x[agree >= LIKELY], agree[agree >= LIKELY]
+        x, agree = x[agree >= likely], agree[agree >= likely]
         shared = bands[x] == bands[u]
         here = bands[u][shared.argmax(1)] == key if len(x) else np.empty(0, bool)
         done: set[int] = set()
@@ -194,17 +194,18 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("digest")).alias("node"), "bands", "short")
 
 
-def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY, likely: float = LIKELY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node) and classes (node, class node) of the nodes that are not their class's smallest."""
     signed = cut(signatures(docs, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     banded = cut(nodes.select("node", F.explode("bands").alias("key")), "bands")
-    full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # the aggregates are tables, so that both sides of a join are plain shuffles and a hot key's partition can be split
+    full = cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full")
     shared = cut(banded.join(full, "key"), "shared")
     # the text that shares most bands with others stands in the middle of its group: it leads its buckets
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    degree = cut(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
     ordered = shared.select("key", "node").join(degree, "node")
-    leads = ordered.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
+    leads = cut(ordered.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")), "leads")
     buckets = cut(shared.select("key", "node").join(leads, "key"), "buckets")
     wanted = buckets.select("node").distinct()
     texts = (
@@ -224,7 +225,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("key", "node", F.coalesce("distance", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("c"))
     )
     member = cut(member, "members")
-    split = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    split = cut(member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "split")
     mixed_up = cut(member.join(split, "key"), "open")
     if not mixed_up.isEmpty():
         limit = 1.0 - similar
@@ -240,7 +241,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             group = np.unique(np.array([x.hex() for x in table["c"].to_pylist()]), return_inverse=True)[1]
             short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(-1, SIZE)
             bands = np.array(table["bands"].to_pylist(), np.int64)
-            found = open_links(table["d"].to_numpy(), group, table["piece"].to_numpy(), short, bands, key[0].as_py(), table["text"].to_pylist(), limit)
+            found = open_links(table["d"].to_numpy(), group, table["piece"].to_numpy(), short, bands, key[0].as_py(), table["text"].to_pylist(), limit, likely)
             return pa.table({n: pa.array([nodes[pair[k]] for pair in found], pa.binary()) for k, n in enumerate("ax")})
 
         second = cut(dealt.groupBy("key", "p", "q").applyInArrow(compare, "a binary, x binary"), "verified")
@@ -250,18 +251,19 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return signed.select("doc_id", "node"), classes
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY, likely: float = LIKELY) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (it is that document).
 
     Texts whose multisets of five-word windows have a weighted Jaccard
     similarity of ``similar`` at least are linked; classes are the connected
-    components.  Texts without a word (null, empty, blank) are each a class of
+    components.  ``likely`` = 0 verifies every pair of a bucket that distances
+    leave open, whatever its signatures say.  Texts without a word (null, empty, blank) are each a class of
     their own; rows that repeat an id and its text are one document, kept twice.
     """
-    rows, classes = text_classes(docs, id_col, text_col, similar)
+    rows, classes = text_classes(docs, id_col, text_col, similar, likely)
     of = classes.select(F.col("node").alias("n"), "component")
     placed = cut(rows.join(of, rows["node"] == of["n"], "left").select("doc_id", F.coalesce("component", "node").alias("c")), "placed")
-    least = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("class_id")).select(F.col("c").alias("k"), "class_id")
+    least = cut(placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("class_id")).select(F.col("c").alias("k"), "class_id"), "least")
     out = placed.join(least, placed["c"] == least["k"], "left").select("doc_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 

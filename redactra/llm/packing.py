@@ -30,13 +30,13 @@ PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_pieces(
-    docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = False
 ) -> DataFrame:
     """Token ids of each document and ``end_id``, in pieces of ``capacity``; the last may be shorter.
 
     One row for each piece: doc_id, piece, start, length, ids_crc32 and, if
     asked for, the ids themselves.  Null texts count as empty: one piece, the
-    end id alone.
+    end id alone.  ``special``: control strings in a text become control ids.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -45,7 +45,7 @@ def cut_pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, spaced).encode
+        encode = encoder(vocabulary, spaced, special).encode
         for batch in batches:
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):

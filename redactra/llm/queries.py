@@ -51,7 +51,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.apply_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = rules.apply_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"], clean=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -69,6 +69,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,7 +81,30 @@ QUERIES = {
     )
 }
 
+_WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_OWN_WORDS = _WORDS_SQL.format("line")
+
 ORACLES = {
+    "op8_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+base AS (SELECT doc_id, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+lines AS (SELECT doc_id, line, {_OWN_WORDS} AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+marked AS (SELECT *, len(lw) AS n, len(list_filter(lw, lambda w: regexp_matches(w, {{shout}}))) AS shouts,
+  length(regexp_replace(line, '[^{rules.BARS}]', '', 'g')) + len(list_filter(lw, lambda w: w IN ('/', '>'))) AS bars FROM lines WHERE len(lw) > 0),
+judged AS (SELECT doc_id, line, list_sum(list_transform(lw, lambda w: length(w))) AS chars,
+  NOT regexp_matches(line, '\p{{{{L}}}}') OR (n >= 4 AND 2 * shouts >= n) OR (bars >= 2 AND 3 * bars >= n - bars) OR (n < 4 AND NOT regexp_matches(lw[-1], {{terminal}}))
+  OR (n <= 25 AND regexp_matches(lower(line), {{phrases}})) AS failed FROM marked),
+per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(CAST(sum(chars) FILTER (WHERE NOT failed) AS BIGINT), 0) AS left_chars FROM judged GROUP BY doc_id),
+runs AS (SELECT doc_id, i, w[i:i + 7] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r.doc_id, r.i FROM runs r JOIN (SELECT doc_id, run FROM runs GROUP BY doc_id, run HAVING count(*) > 1) t ON r.doc_id = t.doc_id AND r.run = t.run),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) t(k) GROUP BY doc_id),
+whole AS (SELECT b.*, coalesce(p.n_dup_lines, 0) AS n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(p.left_chars, 0) AS left_chars
+  FROM base b LEFT JOIN per p ON b.doc_id = p.doc_id LEFT JOIN covered c ON b.doc_id = c.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * left_chars >= word_chars AS kept FROM whole""".format(
+        shout=_quoted(rules.SHOUT), terminal=_quoted(rules.TERMINAL), phrases=_quoted("|".join(rules.BOILERPLATE_PHRASES))
+    ),
     "op2_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

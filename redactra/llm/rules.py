@@ -25,15 +25,21 @@ MAX_REPEAT_PERCENT = 30
 #: A document is rejected if the lines kept hold less than this share of its word characters.
 MIN_KEPT = 0.5
 
-#: Fixed phrases of page furniture, lower case.
-BOILERPLATE = re.compile(
-    r"all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|uses cookies|accept cookies|"
-    r"enable javascript|javascript is (?:disabled|required)|click here|read more|sign (?:in|up)\b|log ?in\b|"
-    r"subscribe (?:now|to)|share (?:this|on)|skip to (?:main )?content|back to top|lorem ipsum"
-)
-_NAVIGATION = re.compile(r"[|»›•·→]|(?<=\s)[/>](?=\s)")
-_SHOUT = re.compile(r"(?:[!?#$%&*@~^=+]{2,}|[#$%&*]{1,})[.,;:]?$")
-_TERMINAL = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
+# Phrases of page furniture, lower case, in English, French, German and Spanish.
+BOILERPLATE_PHRASES = [
+    "all rights reserved", "cookie policy", "privacy policy", "terms of (?:use|service)", "uses cookies", "accept cookies", "enable javascript", "javascript is (?:disabled|required)",
+    "click here", "read more", "sign (?:in|up)\\b", "log ?in\\b", "subscribe (?:now|to)", "share (?:this|on)", "skip to (?:main )?content", "back to top", "lorem ipsum",
+    "tous droits réservés", "politique de (?:confidentialité|cookies)", "mentions légales", "conditions d'utilisation", "accepter les cookies", "cliquez ici", "lire la suite", "se connecter", "haut de page",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "cookies (?:akzeptieren|zulassen)", "hier klicken", "weiterlesen", "jetzt anmelden", "nach oben",
+    "todos los derechos reservados", "política de (?:privacidad|cookies)", "aviso legal", "términos (?:de uso|y condiciones)", "aceptar (?:las )?cookies", "haga clic aquí", "leer más", "iniciar sesión", "volver arriba",
+]
+BOILERPLATE = re.compile("|".join(BOILERPLATE_PHRASES))
+#: Characters that separate entries of a menu, and words that do.
+BARS, BAR_WORDS = "|»›•·→", (b"/", b">")
+_BARS = re.compile(f"[{BARS}]")
+SHOUT = r"(?:[!?#$%&*@~^=+]{2,}|[#$%&*])[.,;:]?$"
+TERMINAL = r"[.!?…:;][\"'”’»)\]]*$"
+_SHOUT, _TERMINAL = re.compile(SHOUT.encode()), re.compile(TERMINAL)
 _LETTER = re.compile(r"[^\W\d_]")
 
 FIELDS = [
@@ -48,21 +54,21 @@ FIELDS = [
 def line_fault(line: str, words: list[bytes]) -> str | None:
     """The first rule that a line (with at least one word) breaks, or None.
 
-    ``symbols``: no letter at all, or half of the words end in a run of marks.
-    ``navigation``: a separator for every three words, two at least; or a short
-    line without sentence end.  ``boilerplate``: a short line with a phrase of
+    ``symbols``: no letter at all, or half of four words and more end in a run of
+    marks.  ``navigation``: a separator (a character of BARS or a word of
+    BAR_WORDS) for every three words, two at least; or fewer than four words
+    without sentence end.  ``boilerplate``: at most 25 words with a phrase of
     page furniture.
     """
     n = len(words)
     if not _LETTER.search(line):
         return "symbols"
-    marked = sum(1 for w in line.split() if _SHOUT.search(w))
-    if n >= 4 and 2 * marked >= n:
+    if n >= 4 and 2 * sum(1 for w in words if _SHOUT.search(w)) >= n:
         return "symbols"
-    bars = len(_NAVIGATION.findall(line))
+    bars = len(_BARS.findall(line)) + sum(w in BAR_WORDS for w in words)
     if bars >= 2 and 3 * bars >= n - bars:
         return "navigation"
-    if n < 4 and not _TERMINAL.search(line.rstrip()):
+    if n < 4 and not _TERMINAL.search(words[-1].decode("utf-8", "replace")):
         return "navigation"
     if n <= 25 and BOILERPLATE.search(line.lower()):
         return "boilerplate"
@@ -97,26 +103,27 @@ def judge(text: str, hashes: WordHashes) -> tuple:
     return n, chars, symbols, dup, repeat, failed, kept, len(good) - sum(good), clean
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (default: all) and the columns of FIELDS.
+def apply_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, clean: bool = True) -> DataFrame:
+    """``keep`` columns of ``docs`` (default: all but those named like a result) and the columns of FIELDS.
 
-    ``clean_text`` is the text without the lines that failed.  Null texts count
-    as empty: no words, so they fail.  Row by row, no shuffle; repeated rows are
-    judged alike, an empty table gives an empty result.  Columns of ``docs``
-    named like those of FIELDS must not be in ``keep``.
+    ``clean_text`` is the text without the lines that failed; it is left out
+    unless ``clean``.  Null texts count as empty: no words, so they fail.  Row
+    by row, no shuffle; repeated rows are judged alike, an empty table gives an
+    empty result.
     """
+    fields = FIELDS if clean else FIELDS[:-1]
 
     def make():
         hashes = WordHashes()
 
         def work(texts: list[str]) -> list[pa.Array]:
-            columns = list(zip(*(judge(t, hashes) for t in texts), strict=True)) or [[]] * len(FIELDS)
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()]
+            columns = list(zip(*(judge(t, hashes)[: len(fields)] for t in texts), strict=True)) or [[]] * len(fields)
+            kinds = ([pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()])[: len(fields)]
             return [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
 
         return work
 
-    return with_columns_of(docs, text_col, FIELDS, make, keep)
+    return with_columns_of(docs, text_col, fields, make, keep)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:

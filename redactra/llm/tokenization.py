@@ -46,16 +46,25 @@ _STAND_IN = _byte_letters()
 
 
 class UnitEncoder(dict):
-    """From a unit to its ids; ``spaced``: the vocabulary keeps white space (byte-level), else it drops it."""
+    """From a unit to its ids; ``spaced``: the vocabulary keeps white space (byte-level), else it drops it.
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    ``special``: whether the strings of control tokens become control ids.  By
+    default they are ordinary text, as the vocabularies' description has it: a
+    document must not be able to end itself.  Else a text that holds one goes
+    through the library whole.
+    """
+
+    def __init__(self, path: str, spaced: bool, special: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        control = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.control = re.compile("|".join(map(re.escape, control)), re.IGNORECASE) if control else None
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.model = self.tokenizer.model
         self.spaced = spaced
         self.parts: dict[str, bytes] = {}
@@ -100,6 +109,8 @@ class UnitEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
+        if self.control is not None and self.control.search(text):
+            return self._raw(text)
         if len(self) > CACHE_UNITS:
             self.clear()
         get = self.__getitem__
@@ -111,9 +122,9 @@ class UnitEncoder(dict):
             return self._raw(text)
 
 
-def encoder(path: str, spaced: bool) -> UnitEncoder:
+def encoder(path: str, spaced: bool, special: bool = False) -> UnitEncoder:
     """The worker's encoder for this file; it outlives the task, and so does what it knows."""
-    key = (path, spaced)
+    key = (path, spaced, special)
     if key not in _tokenizers:
-        _tokenizers[key] = UnitEncoder(path, spaced)
+        _tokenizers[key] = UnitEncoder(path, spaced, special)
     return _tokenizers[key]
