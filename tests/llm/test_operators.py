@@ -34,6 +34,7 @@ def test_every_operator_takes_odd_rows(spark, texts):
     packed = packing.pack(packing.cut_pieces(docs, public_path("word_bpe_49k.json"))).collect()
     assert {r["doc_id"] for r in packed} == set(range(n))
     assert licenses.scan(docs, licenses.train(["plain words here"] * 4)).count() == (1 if n else 0)
+    assert licenses.scan(docs, licenses.train([])).count() == (1 if n else 0)
 
 
 def test_units_equal_whole_texts():
@@ -234,17 +235,52 @@ def test_mixing_meets_its_budgets(spark):
     assert abs(mixing.entropy(mixing.mix_weights({"a": 900, "b": 100}, x)) - 0.6) < 1e-6
 
 
-def test_licences_of_templates_and_plain_text(spark):
-    model = licenses.train([f"the river number {k} flows to the sea" for k in range(40)])
-    texts = [t for f in licenses.TEMPLATES for t in licenses.TEMPLATES[f]] + licenses.UNKNOWN
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["family"] for r in licenses.scan(docs, model).where("confirmed").collect()}
-    z = model.scores(texts)
-    want = {k: licenses.FAMILIES[int(v.argmax())] for k, v in enumerate(z) if v.argmax() < len(licenses.FAMILIES) - 1}
-    known = [f for f in licenses.TEMPLATES for _ in licenses.TEMPLATES[f]]
-    assert {k: f for k, f in want.items() if k in got} == got
-    assert sum(got.get(k) == f for k, f in enumerate(known)) >= 0.9 * len(known)
-    assert all(k < len(known) for k in got)
+#: Notices that share no text with those that the classifier is fitted to, and plain texts with the same words.
+HELD_OUT = {
+    "GPL-3.0": ["Licensed under GPLv3 or later", "This plugin is under the GNU General Public License version 3.", "GPL v3 applies to all files"],
+    "GPL-2.0": ["This driver is under the GNU General Public License version 2.", "GPLv2 applies to all files", "The module is licensed under GPL-2.0-or-later."],
+    "LGPL": ["Covered by the GNU LGPL v2.1.", "This module is under the GNU Lesser General Public License, version 3.", "Use of this library is permitted under the LGPL"],
+    "MIT": ["This software is MIT-licensed.", "Free to use under the MIT License.", "Code released under MIT license, 2019", "subject to the MIT licence"],
+    "BSD": ["This project uses the BSD 3-clause licence.", "Source is available under a BSD licence.", "Redistribution in binary form must reproduce the copyright notice and the disclaimer."],
+    "Apache-2.0": ["Made public under the Apache License v2.0", "You may obtain a copy of the Apache License at the address below.", "Apache 2 license"],
+    "MPL-2.0": ["This file is subject to the Mozilla Public License version 2.0.", "MPL 2.0 covers this file", "Released under the terms of the MPL, version 2."],
+    "CC-BY-NC": ["This photo is shared under Creative Commons Attribution-NonCommercial 2.0.", "Content licensed CC BY-NC 3.0"], "CC-BY-SA": ["This photo is shared under Creative Commons Attribution-ShareAlike 2.0.", "Content licensed CC BY-SA 3.0"],
+    "CC-BY": ["This photo is shared under Creative Commons Attribution 2.0.", "Content licensed CC BY 3.0"], "CC0": ["The data are in the public domain (CC0).", "CC0 waiver: no rights reserved"],
+    "proprietary": ["All rights reserved.", "(c) 2021 Some Firm, all rights reserved worldwide", "This file is confidential; unauthorized copying is strictly prohibited.", "No part of this book may be reproduced without permission of the publisher."],
+    "unknown": [
+        "The museum holds a copy of the notice.", "She lost her driving license.", "The general public is welcome at the library.", "Permission was granted by the city.", "Commons debated the bill.",
+        "The new version of the software was released in 2015.", "Apache is a tribe.", "He works at MIT.", "The conditions of the contract were met.", "The court reserved all rights of appeal.", "", "in 2020",
+    ],
+}
+
+
+def test_licences_kept_out_of_the_fit(spark):
+    """Recall and precision of nine in ten at least; the columns say what the model itself says, both ways."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.fit(docs)
+    cases = [(f, t) for f, texts in HELD_OUT.items() for t in texts]
+    known = [t for texts in licenses.KNOWN.values() for t in texts]
+    assert not {t for _, t in cases} & ({*known} - {"All rights reserved."})
+    found = [(f, model.family(t)) for f, t in cases]
+    right = sum(f == g for f, g in found if f != "unknown")
+    assert right >= 0.9 * sum(f != "unknown" for f, _ in found) and right >= 0.9 * sum(g != "unknown" for _, g in found)
+    own = [(f, model.family(t)) for f, texts in licenses.KNOWN.items() for t in texts]
+    assert sum(f == g for f, g in own) >= 0.95 * len(own)
+    texts = [t for _, t in cases] + known + licenses.UNKNOWN
+    rows = spark.createDataFrame([(k, t, "x", 0.5) for k, t in enumerate(texts)], "doc_id long, text string, family string, probability double")
+    got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licenses.scan(rows, model).collect()}
+    assert {k: f for k, (f, _) in got.items()} == {k: model.family(t) for k, t in enumerate(texts) if model.family(t) != "unknown"}
+    assert {k for k, (_, sure) in got.items() if sure} >= {k + len(cases) for k, (f, g) in enumerate(own) if f == g}
+    whole = licenses.scan(docs, model).select("doc_id", "paragraph", "family").collect()
+    lines = licenses.paragraphs(docs, "doc_id", "text").collect()
+    want = Counter((r["doc_id"], r["paragraph"], f) for r in lines if (f := model.family(r["text"])) != "unknown")
+    assert Counter(map(tuple, whole)) == want and sum(want.values()) > 30
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    rows = [(1, "Licensed under the Apache License,\nVersion 2.0 (the License)\n\nText."), (2, "a\n\nb\n c"), (3, "x" * 101 + "\ny"), (4, None), (5, "One.\nTwo")]
+    out = licenses.paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert [tuple(r) for r in sorted(out)] == [(1, 0, "Licensed under the Apache License, Version 2.0 (the License)"), (1, 1, ""), (1, 2, "Text."), (2, 0, "a"), (2, 1, ""), (2, 2, "b  c"), (3, 0, "x" * 101), (3, 1, "y"), (4, 0, ""), (5, 0, "One."), (5, 1, "Two")]
 
 
 def test_planted_notices_are_all_found(spark):
@@ -253,8 +289,9 @@ def test_planted_notices_are_all_found(spark):
         "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT",
         "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
     }
-    lines = licenses.paragraphs(docs, "doc_id", "text").where(F.col("text").isin(list(kinds))).cache()
-    planted = {r["text"]: r["count"] for r in lines.groupBy("text").count().collect()}
+    planted = {r["text"]: r["count"] for r in docs.select(F.explode(F.split("text", "\n")).alias("text")).where(F.col("text").isin(list(kinds))).groupBy("text").count().collect()}
+    kind = F.coalesce(*(F.when(F.col("text").endswith(k), k) for k in kinds))
+    lines = licenses.paragraphs(docs, "doc_id", "text").select("doc_id", "paragraph", kind.alias("text")).where("text is not null")
     model = licenses.fit(docs)
     found = licenses.scan(docs, model).where("confirmed").join(lines, ["doc_id", "paragraph"]).groupBy("text", "family").count().collect()
     assert set(planted) == set(kinds)
@@ -269,11 +306,7 @@ def test_notices_in_the_sample_do_not_count_as_plain(spark):
     notices = [t for t in ("Released under the GPL v3.", "This work is dedicated to the public domain under CC0 1.0 Universal.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.") for _ in range(4)]
     model = licenses.train([*notices, *plain])
     known = [(f, t) for f in licenses.TEMPLATES for t in licenses.TEMPLATES[f]]
-    assert [licenses.FAMILIES[int(k)] for k in model.scores([t for _, t in known]).argmax(1)] == [f for f, _ in known]
-    # a line that no template confirms, but that wins for one family, takes nothing from the others
-    odd = licenses.train([*plain, *["dedicated to the public domain of ideas and of all the rivers in a wide valley"] * 2])
-    found = [licenses.FAMILIES[int(k)] == f for k, (f, _) in zip(odd.scores([t for _, t in known]).argmax(1), known, strict=True) if f != "CC0"]
-    assert all(found)
+    assert [model.family(t) for _, t in known] == [f for f, _ in known]
     texts = [t for _, t in known] + licenses.UNKNOWN + ["", "the software", "of the", "Released under the GPL v3. and then", "© 2021", plain[0]]
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", licenses.notice(F.col("t"))).collect()
     assert dict(map(tuple, rows)) == {k: licenses.is_notice(t) for k, t in enumerate(texts)}
