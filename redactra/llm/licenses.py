@@ -294,26 +294,31 @@ def train(unknown: list[str]) -> Model:
     return Model(features, w, b)
 
 
+def _paragraphs(text: Column) -> Column:
+    wrapped = rf"(?m)^([^\n]{{0,{WRAPPED - 1}}}[^\s.!?:;…])[ \t\r]*\n(?=[ \t]*\S)"
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), wrapped, "$1 "), "\n")
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, paragraph (its number), text: lines, a short line without a sentence's end together with the next."""
-    wrapped = rf"(?m)^([^\n]{{0,{WRAPPED - 1}}}[^\s.!?:;…])[ \t\r]*\n(?=[ \t]*\S)"
-    text = F.regexp_replace(F.coalesce(named(text_col), F.lit("")), wrapped, "$1 ")
-    return docs.select(named(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("paragraph", "text"))
+    return docs.select(named(id_col).alias("doc_id"), F.posexplode(_paragraphs(named(text_col))).alias("paragraph", "text"))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """The model, with ``sample`` paragraphs of the documents of smallest id hash as unknown, those of smallest
-    hash among them; less those that speak of licences themselves or that a template confirms.
+    """The model, with a paragraph of each of the ``sample`` documents of smallest id hash as unknown, the one of
+    smallest hash among those that do not speak of licences and that no template confirms.
 
     The driver gets ``sample`` paragraphs of SAMPLE_CHARS characters at most, whatever the corpus.
     """
 
     def plain(rows: DataFrame) -> DataFrame:
-        own = paragraphs(rows, id_col, text_col).select(F.xxhash64("doc_id", "paragraph", "text").alias("h"), F.col("text").alias("t"))
-        own = own.where((F.length("t") <= SAMPLE_CHARS) & F.col("t").rlike(r"\S") & ~F.col("t").rlike("(?i)licen[cs]|copyright|permission|rights reserved|redistribut"))
+        speaks = "(?i)licen[cs]|copyright|permission|rights reserved|redistribut"
+        fit_for = F.filter(_paragraphs(named(text_col)), lambda t: (F.length(t) <= SAMPLE_CHARS) & t.rlike(r"\S") & ~t.rlike(speaks))
+        one = F.array_min(F.transform(fit_for, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))["t"]
+        own = rows.select(F.xxhash64(named(id_col)).alias("h"), one.alias("t")).where("t is not null")
         return own.where(~notice(F.col("t"))).orderBy("h", "t").limit(sample)
 
-    # of the documents a part, four times as many as wanted paragraphs, is looked at: else each partition sends ``sample`` rows to be merged
+    # of the documents a part, four times as many as wanted, is looked at: else each partition sends ``sample`` rows to be merged
     share = 4 * sample / max(1, docs.count())
     rows = plain(docs.where(F.xxhash64(named(id_col)) <= int(share * 2**64) - 2**63)).collect() if share < 1 else []
     if len(rows) < sample:
