@@ -34,5 +34,7 @@ def renameable_sheets(titles: DataFrame, cells: DataFrame) -> DataFrame:
     """Titles (doc_id, sheet_ord, title, new_title) that changed and that no formula refers to."""
     formulas = cells.where((F.col("dtype") == "f") | F.col("s").startswith("=")).select(F.col("doc_id").alias("fd"), F.col("s").alias("formula"))
     changed = titles.where(F.col("title") != F.col("new_title"))
-    refers = F.contains(F.col("formula"), F.concat("title", F.lit("!"))) | F.contains(F.col("formula"), F.concat(F.lit("'"), "title", F.lit("'!")))
+    # the title or the quoted title, blanks, an exclamation mark; the title is quoted for the expression
+    plain = F.concat(F.lit("\\Q"), F.replace("title", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    refers = F.rlike(F.col("formula"), F.concat(F.lit("(?:'"), plain, F.lit("'|"), plain, F.lit(r")\s*!")))
     return changed.join(formulas, (F.col("doc_id") == F.col("fd")) & refers, "left_anti")

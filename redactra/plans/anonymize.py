@@ -72,6 +72,10 @@ class Anonymizer:
         if self.names is None and self.require_names:
             raise RecogniserMissing("a name recogniser is required: pass its spans as names")
 
+    @property
+    def engine(self) -> str:
+        return "names+regex" if self.names is not None else "regex-only"
+
     def _detect(self, text: Column, context: Column) -> Column:
         return detect(text, context, level_of(self.level), extra=self.extra_rules)
 
@@ -169,8 +173,7 @@ class Anonymizer:
         out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_occurrences", "total_distinct")})
         codes = [*self.warnings, *([] if self.names is not None or self.warnings else [{"code": "recogniser_missing"}])]
         said = F.array(*(F.create_map(*(F.lit(x) for pair in w.items() for x in pair)) for w in codes))
-        engine = "names+regex" if self.names is not None else "regex-only"
-        return out.withColumn("engine", F.lit(engine)).withColumn("level", F.lit(self.level)).withColumn("warnings", said.cast("array<map<string,string>>"))
+        return out.withColumn("engine", F.lit(self.engine)).withColumn("level", F.lit(self.level)).withColumn("warnings", said.cast("array<map<string,string>>"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,5 @@
-import io
 import random
 import unicodedata
-import zipfile
 from collections import Counter
 
 import pytest
@@ -10,7 +8,6 @@ from pyspark.sql import functions as F
 from redactra.functions import text as fx
 from redactra.operators import language, registry, splice, structure
 from redactra.plans.anonymize import Anonymizer, RecogniserMissing, anonymize_texts, redact_rows
-from redactra.sources import ooxml
 
 NAMES = "doc_id string, unit_seq int, start int, end int, label string, text string"
 UNIT = "doc_id string, unit_seq int, text string, context string"
@@ -163,27 +160,6 @@ def test_second_run_changes_nothing(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
 
 
-def _package(parts):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body in parts.items():
-            z.writestr(name, body)
-    return out.getvalue()
-
-
-def test_word_round_trip(spark, tmp_path):
-    w = ooxml.W[1:-1]
-    body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Ana </w:t></w:r><w:r><w:t>a@x.org</w:t></w:r></w:p></w:body></w:document>'
-    data = _package({"word/document.xml": body})
-    (tmp_path / "a.docx").write_bytes(data)
-    (tmp_path / "b.docx").write_bytes(b"broken")
-    rows = {r["path"].rsplit("/", 1)[-1]: r for r in ooxml.word_units(spark, f"file://{tmp_path}").collect()}
-    assert rows["a.docx"]["segments"] == ["Ana ", "a@x.org"] and rows["b.docx"]["corrupt"]
-    edited = ooxml.edit_package(data, {"word/document.xml": ["Ana ", "[EMAIL_1]"]})
-    assert ooxml.node_texts(edited, "word/document.xml") == ["Ana ", "[EMAIL_1]"]
-    assert ooxml.edit_package(data, {"word/document.xml": ["Ana ", "a@x.org"]}) and ooxml.node_texts(data, "word/document.xml") == ["Ana ", "a@x.org"]
-
-
 def test_units_within_rows_are_those_of_the_window(spark):
     from redactra.operators.units import document_units, split_lines, with_previous
 
