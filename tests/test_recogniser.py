@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,20 +7,21 @@ from redactra.plans.anonymize import Anonymizer, RecogniserMissing
 UNIT = "doc_id long, unit_seq int, text string, context string"
 
 
-def stub(language):
-    """Two capitalised words are a person; a text with the word fail is too much for it."""
-    if language == "en":
-        raise OSError("no such model")
+def test_recogniser_finds_names_and_says_what_it_lacks(spark):
+    def stub(language):
+        """Two capitalised words are a person; a text with the word fail is too much for it."""
+        if language == "en":
+            raise OSError("no such model")
 
-    def model(texts):
-        if any("fail" in t for t in texts):
-            raise RuntimeError
-        return [[(m.start(), m.end(), "PER") for m in re.finditer(r"[A-Z][a-z]+ [A-Z][a-z]+", t)] for t in texts]
+        import re
 
-    return model
+        def model(texts):
+            if any("fail" in t for t in texts):
+                raise RuntimeError
+            return [[(m.start(), m.end(), "PER") for m in re.finditer(r"[A-Z][a-z]+ [A-Z][a-z]+", t)] for t in texts]
 
+        return model
 
-def test_recogniser_finds_names_and_says_what_it_lacks(spark):
     units = spark.createDataFrame([(1, 0, "Ana Soto a@x.org", ""), (1, 1, "for Soto, Ana Soto", ""), (None, 0, "Luis Paz", ""), (2, 0, "fail", ""), (2, 1, "Ana Soto", ""), (3, 0, None, ""), (3, 1, " ", "")], UNIT)
     model = Recogniser(stub, ("es",))
     found = {(r["doc_id"], r["unit_seq"], r["start"], r["label"]) for r in recognise(units, model).collect()}
