@@ -271,13 +271,14 @@ def train(unknown: list[str]) -> Model:
     negative = UNKNOWN + fit_half
     texts += negative
     labels += [len(FAMILIES) - 1] * len(negative)
-    x = np.zeros((len(texts), len(features)))
-    for i, t in enumerate(texts):
-        for g in grams(t) & at.keys():
-            x[i, at[g]] = 1
-    y = np.eye(len(FAMILIES))[labels]
-    each = 1.0 / y.sum(0)[labels]
-    each /= each.sum()
+    # each class weighs the same; texts of the same features and class are one row of their joint weight
+    size, joint = Counter(labels), {}
+    for t, label in zip(texts, labels, strict=True):
+        key = (label, *sorted(at[g] for g in grams(t) & at.keys()))
+        joint[key] = joint.get(key, 0.0) + 1.0 / size[label] / len(size)
+    x, y, each = np.zeros((len(joint), len(features))), np.zeros((len(joint), len(FAMILIES))), np.array(list(joint.values()))
+    for i, (label, *own) in enumerate(joint):
+        x[i, own], y[i, label] = 1, 1
     w, b = np.zeros((len(features), len(FAMILIES))), np.zeros(len(FAMILIES))
     for _ in range(ROUNDS):
         z = x @ w + b
@@ -318,8 +319,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         own = rows.select(F.xxhash64(named(id_col)).alias("h"), one.alias("t")).where("t is not null")
         return own.where(~notice(F.col("t"))).orderBy("h", "t").limit(sample)
 
-    # of the documents a part, four times as many as wanted, is looked at: else each partition sends ``sample`` rows to be merged
-    share = 4 * sample / max(1, docs.count())
+    # of the documents a part, twice as many as wanted, is looked at: else each partition sends ``sample`` rows to be merged
+    share = 2 * sample / max(1, docs.count())
     rows = plain(docs.where(F.xxhash64(named(id_col)) <= int(share * 2**64) - 2**63)).collect() if share < 1 else []
     if len(rows) < sample:
         rows = plain(docs).collect()
