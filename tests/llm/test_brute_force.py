@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,41 @@ def test_vectors_take_odd_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0], 1), (4, [0.0, 1.0], 1), (5, [1.0, 0.0], 2), (None, None, None)]
     got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.link_vectors(spark.createDataFrame([(*r, "x", "y") for r in rows], schema)).collect())
     assert got == Counter([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (None, 0, None)])
+
+
+def test_vectors_cost_no_more_disk_than_their_own_size(spark):
+    """Spread evenly over all directions, as cells prune worst: nothing may be sent to many places."""
+    n, written = 6_000, lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    x = np.random.default_rng(4).standard_normal((n, 64)).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32())), "label": np.zeros(n, np.int32)}))
+    before = written()
+    assert embeddings.link_vectors(rows).where("n_links > 0").count() == 0
+    assert written() - before < 3 * x.nbytes
+
+
+def test_vectors_of_many_cells_and_pieces_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 60)
+    monkeypatch.setattr(embeddings, "PIECE_BYTES", (16 << 10, 16 << 10))
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2600, 16))
+    x[600:900] = x[:300] + 0.25 * rng.standard_normal((300, 16))  # on both sides of the limit
+    x[900:1300] = x[0] + 0.01 * rng.standard_normal((400, 16))  # copies but for a little: many cells of one group
+    x[1300:1500] = x[1] + 0.3 * rng.standard_normal((200, 16))  # a group whose vectors are not all linked
+    x[1500:1520] = x[:20]
+    x = x.astype(np.float32).astype(float)
+    label = np.where(np.arange(2600) < 2000, 0, np.where(np.arange(2600) < 2550, 1, 2))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    root = np.arange(2600)
+    while (less := np.minimum(root, np.where(near, root, 2600).min(1))).tolist() != root.tolist():
+        root = less
+    for kind in ("float", "double"):
+        got = embeddings.link_vectors(spark.createDataFrame([(k, e.tolist(), int(c)) for k, (e, c) in enumerate(zip(x, label, strict=True))], f"vec_id long, embedding array<{kind}>, label int"))
+        assert [tuple(r) for r in got.orderBy("vec_id").select("n_links", "component_id", "kept").collect()] == [(int(n), int(c), bool(c == k)) for k, (n, c) in enumerate(zip(near.sum(1), root, strict=True))]
+
+
+def test_vectors_without_id_link_with_nothing(spark):
+    rows = [(1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (2, [1.0, 0.02], 1)]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == Counter([(1, 1, 1), (None, 0, None), (None, 0, None), (2, 1, 1)])
